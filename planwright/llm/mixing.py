@@ -14,6 +14,7 @@ size 0 and take 0.  Other columns are ignored.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 
@@ -94,6 +95,16 @@ def settle(rows: list[tuple], out: list[float], held: int, seed: int) -> None:
         if j != held and 0 < rows[j][1] <= abs(error) and out[j] == float(error > 0):
             out[j] = 1.0 - out[j]
             error -= math.copysign(rows[j][1], error)
+    # One exchange of a taken for an untaken document, where that comes nearer.
+    taken = [j for j in range(len(rows)) if out[j] == 1.0]
+    spare = sorted((rows[j][1], j) for j in range(len(rows)) if out[j] == 0.0 and rows[j][1])
+    best = (abs(error), None, None)
+    for j in taken if spare else []:
+        at = bisect.bisect_left(spare, (rows[j][1] - error, -1))
+        for size, k in spare[max(0, at - 1) : at + 1]:
+            best = min(best, (abs(error - rows[j][1] + size), j, k), key=lambda x: x[0])
+    if best[1] is not None:
+        out[best[1]], out[best[2]] = 0.0, 1.0
 
 
 def _level(units: DataFrame, seed: int) -> DataFrame:

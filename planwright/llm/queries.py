@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, mixing, packing, rules, token_output
+from . import chat, common, fingerprint, mixing, packing, rules, token_output
 
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 1024
@@ -48,8 +48,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(common.read(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_report(common.read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_ids, op6_packing, op7_chat, op8_quality_rules, op9_mixing)}
+    return {f.__name__: f for f in (op2_token_ids, op6_packing, op7_chat, op8_quality_rules, op9_mixing, op10_fingerprints)}
 
 
 def _op7_sql() -> str:
