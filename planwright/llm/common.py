@@ -14,11 +14,18 @@ from pyspark.sql import functions as F
 #: What a word is, for Python's ``re`` and for Java's regular expressions alike.
 WORD = "[^\\x20\\x09-\\x0D]+"
 WORDS = re.compile(WORD)
+#: White space to ``str.split`` that is part of a word here.
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ``str.translate`` table that lower-cases A-Z and nothing else.
 LOWER_ASCII = {ord(c): c.lower() for c in UPPER}
 
 
+def words(text: str) -> list[str]:
+    """All words of a text."""
+    return WORDS.findall(text) if OTHER_SPACE.search(text) else text.split()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

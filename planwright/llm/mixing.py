@@ -26,7 +26,7 @@ from . import common
 
 WEIGHTS = (5, 2, 1)
 #: Units in one chunk of a source, and residuals in one chunk of a later level.
-CHUNK = 20_000
+CHUNK = 2_000
 #: Sources whose totals the driver may hold.
 MOST_SOURCES = 1_000_000
 UNITS = "source string, doc_id long, size long, m long, whole long, fraction double, chunk long, root boolean"
@@ -81,13 +81,18 @@ def reduce_chunk(rows: list[tuple], seed: int, root: bool) -> list[float]:
         held = other if 1e-12 < out[other] < 1 - 1e-12 else None
         if held is None:
             out[other] = float(round(out[other]))
-    if root and held is not None:
-        settle(rows, out, held, seed)
+    if held is not None:
+        error = settle(rows, out, held, seed)
+        if not root and error:  # what is left stays open, on a small document
+            fits = [(rows[j][1], j) for j in range(len(rows)) if out[j] == float(error > 0) and rows[j][1] >= abs(error)]
+            if fits:
+                size, j = min(fits)
+                out[j] -= error / size
     return out
 
 
-def settle(rows: list[tuple], out: list[float], held: int, seed: int) -> None:
-    """Round a source's last fraction by a draw; what that adds or takes, others give or get, largest first."""
+def settle(rows: list[tuple], out: list[float], held: int, seed: int) -> float:
+    """Round the last fraction by a draw; what that adds or takes, others give or get, largest first.  The words left over."""
     up = draw(seed, rows[held][0]) < out[held]
     error = (float(up) - out[held]) * rows[held][1]
     out[held] = float(up)
@@ -105,6 +110,8 @@ def settle(rows: list[tuple], out: list[float], held: int, seed: int) -> None:
             best = min(best, (abs(error - rows[j][1] + size), j, k), key=lambda x: x[0])
     if best[1] is not None:
         out[best[1]], out[best[2]] = 0.0, 1.0
+        error += rows[best[2]][1] - rows[best[1]][1]
+    return error
 
 
 def _level(units: DataFrame, seed: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, fingerprint, mixing, packing, rules, token_output
+from . import chat, common, fingerprint, mixing, neardup, packing, quality_knn, rules, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 1024
@@ -19,10 +19,23 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_score(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_id_output(common.read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(common.read(spark, sf_dir, "documents"), width=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.held_out_score(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.read(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE)
 
@@ -53,7 +66,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_ids, op6_packing, op7_chat, op8_quality_rules, op9_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_ids, op3_near_dedup, op5_quality, op6_packing, op7_chat, op8_quality_rules, op9_mixing, op10_fingerprints)}
 
 
 def _op7_sql() -> str:
@@ -73,5 +86,22 @@ select r.conv_id, count(*) as n_turns,
 from r join f on r.conv_id is not distinct from f.conv_id group by r.conv_id"""
 
 
+OP3_SQL = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+  from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
+    else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from w
+), e as (select doc_id, len(s) as n, unnest(s) as sh from s),
+p as (
+  select a.doc_id as a, b.doc_id as b from e a join e b on a.sh = b.sh and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), l as (select a, b from p union all select b, a from p),
+r(node, label) as (select doc_id, doc_id from s union select l.b, r.label from r join l on l.a = r.node),
+c as (select node, min(label) as label from r group by node)
+select s.doc_id, len(s.s) as n_shingles, c.label as component_id, s.doc_id = c.label as kept from s join c on c.node = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": _op7_sql()}
+    return {"op3_near_dedup": OP3_SQL, "op7_chat": _op7_sql()}
