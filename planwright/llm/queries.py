@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, fingerprint, mixing, neardup, packing, quality_knn, rules, token_output, toxicity
+from . import chat, common, fingerprint, lm, mixing, neardup, packing, quality_knn, rules, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 1024
@@ -32,6 +32,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.katz_scores(common.read(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.held_out_score(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
 
@@ -66,7 +70,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_ids, op3_near_dedup, op5_quality, op6_packing, op7_chat, op8_quality_rules, op9_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_ids, op3_near_dedup, op4_katz, op5_quality, op6_packing, op7_chat, op8_quality_rules, op9_mixing, op10_fingerprints)}
 
 
 def _op7_sql() -> str:
