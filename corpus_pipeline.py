@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planwright.llm import common, mixing, packing, rules
+from planwright.llm import common, mixing, neardup, packing, rules, toxicity
 from planwright.llm.queries import SEQUENCE, tokenizer_path
 
 
@@ -14,6 +14,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.filter_documents(docs)
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labels of the documents it is given."""
+    return toxicity.filter_documents(docs, common.read(spark, sf_dir, "labels"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, likeness 0.8 or more."""
+    return neardup.filter_documents(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
@@ -22,7 +32,13 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs, tokenizer_path(), SEQUENCE)
 
 
-STAGES = [("quality rules", quality), ("mixing", mixing_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality rules", quality),
+    ("toxicity", toxicity_stage),
+    ("MinHash near-dedup", dedup),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
 #: Sampling, learned models and packing by a histogram have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
