@@ -10,13 +10,19 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
-
-RUNS = re.compile(r"\s\s|^\s|\s$")
-#: Chunks remembered by one worker; beyond it the memory starts anew, results are the same.
-REMEMBER = 300_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: A chunk that may be encoded on its own: a word, perhaps after one newline.
+ALONE = re.compile(r"\n?\S+(\s\S+)*")
+#: Chunks remembered by one worker; beyond it the later half goes, results are the same.
+REMEMBER = 1_000_000
+TAIL = ".,"
 _ENCODERS: dict[int, "Encoder"] = {}
 
 
@@ -29,37 +35,97 @@ class Encoder:
         self.model.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        (self.newline,) = self.model.encode("\n", add_special_tokens=False).ids
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, chunks: list[str], prefix: str) -> list[bytes]:
+        """As ``_encode`` of " word" chunks, many to a call: a lone newline between two is an id of its own."""
+        if not prefix:
+            return self._encode(chunks)
+        plain = [c for c in chunks if c[0] != "\n"]
+        found: dict[str, bytes] = {}
+        for i in range(0, len(plain), 100):
+            part = plain[i : i + 100]
+            ids = np.array(self.model.encode_batch_fast([prefix + f"\n{prefix}".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.newline)
+            starts, ends = np.concatenate([[0], cuts + 1]) * 4, np.concatenate([cuts, [len(ids)]]) * 4
+            data = ids.tobytes()
+            found.update((c, data[a:b]) for c, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True))
+        lines = [c for c in chunks if c[0] == "\n"]
+        found.update(zip(lines, self._encode(lines), strict=True))
+        return [found[c] for c in chunks]
 
     def _learn(self, into: dict[str, bytes], chunks: list[str], prefix: str) -> None:
-        texts = [c if c[:1] == "\n" else prefix + c for c in chunks]
-        done = self.model.encode_batch_fast(texts, add_special_tokens=False)
-        into.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(chunks, done, strict=True))
-
-    def __call__(self, texts: Iterable[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; '' has none."""
-        if len(self.known) + len(self.first) > REMEMBER:
-            self.known.clear()
-            self.first.clear()
-        split = [None if RUNS.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        fresh: set[str] = set()
-        heads: set[str] = set()
-        for s in split:
-            if s:
-                heads.add(s[0])
-                fresh.update(s[1:])
-        if new := [c for c in fresh if c not in self.known]:
-            self._learn(self.known, new, " ")
-        if new := [c for c in heads if c not in self.first]:
-            self._learn(self.first, new, "")
-        get, out = self.known.__getitem__, []
-        for t, s in zip(texts, split, strict=True):
-            if s:
-                out.append(self.first[s[0]] + b"".join(map(get, s[1:])))
+        """Ids of new chunks; marks at a word's end split off and are looked up by themselves."""
+        plain, tailed = [], []
+        for c in chunks:
+            core = c.rstrip(TAIL)
+            if core != c and core and core[-1].isalnum():
+                tailed.append((c, core))
+                if core not in into:
+                    plain.append(core)
             else:
-                out.append(np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+                plain.append(c)
+        plain = [c for c in dict.fromkeys(plain) if ALONE.fullmatch(c)]
+        into.update(zip(plain, self._encode_words(plain, prefix), strict=True))
+        tails = {c[len(core) :] for c, core in tailed}
+        ends = dict(zip(tails, self._encode(list(tails)), strict=True))
+        for c, core in tailed:
+            if core in into:
+                into[c] = into[core] + ends[c[len(core) :]]
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids (little-endian unsigned 32-bit) of each text of a string column without nulls; '' has none."""
+        for memory in (self.known, self.first):
+            if len(memory) > REMEMBER:
+                for c in list(islice(memory, REMEMBER // 2, None)):
+                    del memory[c]
+        known, first = self.known, self.first
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        bounds, values = bounds - bounds[0], parts.flatten()
+        coded = values.dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        chunks, heads = coded.dictionary.to_pylist(), values.take(pa.array(bounds[:-1])).to_pylist()
+        found = list(map(known.get, chunks))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            self._learn(known, [chunks[i] for i in new], " ")
+            for i in new:
+                found[i] = known.get(chunks[i])
+        if new := [c for c in dict.fromkeys(heads) if c not in first]:
+            self._learn(first, new, "")
+        at[bounds[:-1]] = len(chunks) + np.arange(len(heads))
+        table = [*found, *map(first.get, heads)]
+        bad = np.fromiter((x is None for x in table), bool, len(table))
+        if bad.any():
+            table = [x or b"" for x in table]
+        pool = np.frombuffer(b"".join(table), "<u4")
+        lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        origin = np.cumsum(lengths) - lengths
+        held = lengths[at]
+        ends = np.cumsum(held)
+        ids = pool[np.repeat(origin[at] - ends + held, held) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[bounds]
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        if bad.any():  # white space in runs or at an end: the library sees the whole text
+            for i in np.unique(np.searchsorted(bounds, np.flatnonzero(bad[at]), side="right") - 1):
+                out[i] = np.frombuffer(self._encode([texts[int(i)].as_py()])[0], "<u4")
         return out
 
 
+def slices(texts: pa.Array, limit: int = 24_000_000) -> Iterable[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes."""
+    before = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())]) if len(texts) else np.zeros(1)
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(before, before[start] + limit)))
+        yield start, min(end, len(texts))
+        start = end
+
+
 def encoder(definition: str) -> Encoder:
     """One encoder a worker process and definition."""
     key = hash(definition)
@@ -75,15 +141,3 @@ def definition(path: str) -> str:
     if len(found) > 64_000_000:
         raise ValueError(f"{path}: over 64 MB, not a vocabulary file")
     return found
-
-
-def batches(texts: list[str], limit: int = 2_000_000) -> Iterable[tuple[int, int]]:
-    """Slices of about ``limit`` characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)

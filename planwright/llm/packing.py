@@ -75,20 +75,19 @@ def cut(docs: DataFrame, tokenizer_path: str, max_length: int, end_id: int = 0)
     spark = docs.sparkSession
     common.prepare(spark)
     shared = spark.sparkContext.broadcast(encoding.definition(tokenizer_path))
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding.encoder(shared.value)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in encoding.batches(texts):
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in encoding.slices(texts):
                 rows = []
-                for d, ids in zip(doc_ids[a:b], encode(texts[a:b]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for s in range(0, n, max_length):
-                        piece = ids[s * 4 : (s + max_length) * 4]
-                        rows.append((d, s, len(piece) // 4, zlib.crc32(piece), n))
+                for d, ids in zip(doc_ids[a:b], encode(texts.slice(a, b - a)), strict=True):
+                    ids = np.append(ids, end)
+                    for s in range(0, len(ids), max_length):
+                        piece = ids[s : s + max_length]
+                        rows.append((d, s, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
                 columns = list(zip(*rows, strict=True))
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
@@ -158,7 +157,7 @@ def sequence_ids(pieces: DataFrame, docs: DataFrame, tokenizer_path: str, end_id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = encoding.encoder(shared.value)
         for batch in batches:
-            ids = [np.append(np.frombuffer(x, "<u4").astype(np.int32), np.int32(end_id)) for x in run(batch.column(1).to_pylist())]
+            ids = [np.append(x.astype(np.int32), np.int32(end_id)) for x in run(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     whole = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text")).distinct()

@@ -17,61 +17,77 @@ ESCAPE = 0
 U = np.uint64
 
 
+STRIDE = BLOCK + 60  # a block and what its last word may reach beyond it
+LIMITS = np.array([1 << b for b in BITS], U)
+#: For ids under 2^16, the first of BITS that holds them.
+SMALL = np.searchsorted(LIMITS, np.arange(1 << 16, dtype=U), side="right").astype(np.uint8)
+STEP = np.array([1, 1, *COUNT])
+
+
+def _all_within(fits: np.ndarray, count: int) -> np.ndarray:
+    """Where this and the next count-1 entries are all true."""
+    have = 1
+    while have * 2 <= count:
+        fits[:-have] &= fits[have:].copy()
+        have *= 2
+    if have < count:
+        fits[: have - count] &= fits[count - have :].copy()
+    return fits
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, offsets): offsets[i] is where block i's words start, one more entry ends the last."""
     n = len(values)
-    blocks = -(-n // BLOCK)
     if not n:
         return np.empty(0, U), np.zeros(1, np.uint32)
-    grid = np.zeros((blocks, BLOCK + 60), U)
-    flat = np.zeros(blocks * BLOCK, U)
-    flat[:n] = values
-    grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    choice = np.zeros((blocks, BLOCK), np.int8)  # index into BITS plus 2; 0: escape
-    most = int(flat.max())
-    tightest = next((i for i, b in enumerate(BITS) if most < 1 << b), len(BITS))
-    if tightest == len(BITS):
-        choice[grid[:, :BLOCK] < U(1 << 60)] = len(BITS) + 1
-    else:
-        choice[:] = tightest + 2
-    for i in range(min(tightest, len(BITS)) - 1, -1, -1):
-        over = np.zeros((blocks, BLOCK + 1), np.int16)
-        np.cumsum(grid[:, :BLOCK] >= U(1 << BITS[i]), axis=1, out=over[:, 1:], dtype=np.int16)
-        ends = np.minimum(np.arange(BLOCK) + COUNT[i], BLOCK)
-        choice[over[:, ends] == over[:, :BLOCK]] = i + 2
-    rows, spots, picks = [], [], []
-    live, at = np.arange(blocks), np.zeros(blocks, np.int64)
-    step = np.array([1, 0, *COUNT])
-    while len(live):
-        c = choice[live, at]
-        rows.append(live), spots.append(at), picks.append(c)
-        at = at + step[c]
-        stay = at < BLOCK
-        if len(live) and live[-1] == blocks - 1 and n % BLOCK and stay[-1] and at[-1] >= n % BLOCK:
-            stay[-1] = False
-        live, at = live[stay], at[stay]
-    row, spot, pick = (np.concatenate(x) for x in (rows, spots, picks))
-    order = np.argsort(row, kind="stable")  # steps of a block are already in order
-    row, spot, pick = row[order], spot[order], pick[order]
+    blocks = -(-n // BLOCK)
+    padded = np.zeros(blocks * BLOCK, U)
+    padded[:n] = values
+    grid = np.zeros((blocks, STRIDE), U)
+    grid[:, :BLOCK] = padded.reshape(blocks, BLOCK)
+    flat = grid.reshape(-1)
+    small = int(flat.max()) < 1 << 16
+    kind = SMALL[flat] if small else np.searchsorted(LIMITS, flat, side="right").astype(np.uint8)
+    widest = int(kind.max())
+    choice = np.full(len(flat), widest + 2, np.uint8)
+    if widest == len(BITS):  # some fit no selector
+        choice[:] = np.where(kind == widest, ESCAPE, widest + 1)
+        widest -= 1
+    for i in range(widest - 1, -1, -1):
+        fits = _all_within(kind <= i, COUNT[i])
+        if not fits.any():
+            break
+        np.copyto(choice, np.uint8(i + 2), where=fits)
+    # Blocks step on together, from word to word.
+    at = np.arange(blocks) * STRIDE
+    end = at + BLOCK
+    end[-1] = at[-1] + (n - 1) % BLOCK + 1
+    begins = np.zeros(len(flat), bool)
+    while len(at):
+        begins[at] = True
+        at = at + STEP[choice[at]]
+        stay = at < end
+        at, end = at[stay], end[stay]
+    spot = np.flatnonzero(begins)
+    pick = choice[spot]
     width = np.where(pick == ESCAPE, 2, 1)
     start = np.cumsum(width) - width
     words = np.zeros(int(width.sum()), U)
     for i, (b, c) in enumerate(zip(BITS, COUNT, strict=True)):
-        hit = np.nonzero(pick == i + 2)[0]
+        hit = np.flatnonzero(pick == i + 2)
+        if not len(hit):
+            continue
+        first = spot[hit]
         word = np.full(len(hit), (i + 2) << 60, U)
         for k in range(c):
-            word |= grid[row[hit], spot[hit] + k] * _inside(spot[hit] + k) << U(k * b)
+            word |= flat[first + k] << U(k * b)
         words[start[hit]] = word
-    hit = np.nonzero(pick == ESCAPE)[0]
-    words[start[hit] + 1] = grid[row[hit], spot[hit]]
-    per_block = np.bincount(row, weights=width, minlength=blocks).astype(np.int64)
+    hit = np.flatnonzero(pick == ESCAPE)
+    words[start[hit] + 1] = flat[spot[hit]]
+    per_block = np.bincount(spot // STRIDE, weights=width, minlength=blocks).astype(np.int64)
     return words, np.concatenate([[0], np.cumsum(per_block)]).astype(np.uint32)
 
 
-def _inside(at: np.ndarray) -> np.ndarray:
-    return (at < BLOCK).astype(U)
-
-
 def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     """The n values of all blocks."""
     out = np.zeros(n, U)
@@ -97,13 +113,18 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     limit = np.minimum((block + 1) * BLOCK, n)
     escaped = np.nonzero((selector == ESCAPE) & ~raw)[0]
     out[at[escaped]] = words[escaped + 1]
+    whole = at + held <= limit
     for i, (b, c) in enumerate(zip(BITS, COUNT, strict=True)):
-        hit = np.nonzero((selector == i + 2) & ~raw)[0]
-        if not len(hit):
-            continue
+        mine = selector == i + 2
+        if raw.any():
+            mine &= ~raw
         mask = U((1 << b) - 1)
+        hit = np.flatnonzero(mine & whole)
+        first, word = at[hit], words[hit]
         for k in range(c):
-            ok = at[hit] + k < limit[hit]
-            h = hit[ok]
-            out[at[h] + k] = words[h] >> U(k * b) & mask
+            out[first + k] = word >> U(k * b) & mask
+        hit = np.flatnonzero(mine & ~whole)
+        for k in range(c if len(hit) else 0):
+            hit = hit[at[hit] + k < limit[hit]]
+            out[at[hit] + k] = words[hit] >> U(k * b) & mask
     return out

@@ -30,10 +30,10 @@ HEAD = struct.Struct("<4sIQII")
 SEGMENT_IDS = 1 << 20
 
 
-def pack_segment(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    """One segment's bytes; ids are little-endian unsigned 32-bit."""
-    lengths = np.array([len(x) // 4 for x in ids], "<u4")
-    words, offsets = simple8b.encode(np.frombuffer(b"".join(ids), "<u4").astype(np.uint64))
+def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
+    """One segment's bytes."""
+    lengths = np.array([len(x) for x in ids], "<u4")
+    words, offsets = simple8b.encode(np.concatenate(ids).astype(np.uint64) if ids else np.empty(0, np.uint64))
     return b"".join((
         HEAD.pack(MAGIC, len(ids), int(lengths.sum(dtype=np.int64)), len(offsets), len(words)),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
@@ -62,7 +62,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     spark = docs.sparkSession
     common.prepare(spark)
     shared = spark.sparkContext.broadcast(encoding.definition(tokenizer_path))
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -70,7 +70,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
         part = TaskContext.get().partitionId()
         encode = encoding.encoder(shared.value)
         kept_docs: list = []
-        kept: list[bytes] = []
+        kept: list[np.ndarray] = []
         seq = before = size = 0
 
         def close() -> pa.RecordBatch:
@@ -86,12 +86,12 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
             return out
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in encoding.batches(texts):
-                for d, ids in zip(doc_ids[a:b], encode(texts[a:b]), strict=True):
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in encoding.slices(texts):
+                for d, ids in zip(doc_ids[a:b], encode(texts.slice(a, b - a)), strict=True):
                     kept_docs.append(d)
-                    kept.append(ids + end)
-                    size += len(ids) // 4 + 1
+                    kept.append(np.append(ids, end))
+                    size += len(ids) + 1
                     if size >= SEGMENT_IDS:
                         yield close()
         if kept:
