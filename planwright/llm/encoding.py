@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 #: A chunk that may be encoded on its own: a word, perhaps after one newline.
 ALONE = re.compile(r"\n?\S+(\s\S+)*")
 #: Chunks remembered by one worker; beyond it the later half goes, results are the same.
-REMEMBER = 1_000_000
+REMEMBER = 600_000
 TAIL = ".,"
 _ENCODERS: dict[int, "Encoder"] = {}
 
@@ -116,7 +116,7 @@ class Encoder:
         return out
 
 
-def slices(texts: pa.Array, limit: int = 24_000_000) -> Iterable[tuple[int, int]]:
+def slices(texts: pa.Array, limit: int = 8_000_000) -> Iterable[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes."""
     before = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())]) if len(texts) else np.zeros(1)
     start = 0
