@@ -389,6 +389,10 @@ def result_kind(name: str, kind: str) -> str:
     return DATE if name in ("MIN", "MAX") and kind == DATE else TEXT if name == "LISTAGG" else NUM
 
 
+def joined(texts: Column, separator: Column | None) -> Column:
+    return F.call_function("array_join", texts, F.lit(", ") if separator is None else separator)
+
+
 def aggregate_column(name: str, v: Val, order: Column | None = None, extra: Column | None = None) -> Val:
     """As a Spark aggregate of a group's rows.  ``order``: their order, for FIRST, LAST, LISTAGG, NPV, IRR."""
     err = None if v.err is None else F.min(v.err)
@@ -407,7 +411,7 @@ def aggregate_column(name: str, v: Val, order: Column | None = None, extra: Colu
         return Val(kind, pick(v.col, F.when(present, order)), err)
     if name == "LISTAGG":
         items = F.sort_array(F.collect_list(F.when(present, F.struct(order.alias("o"), as_text(v).alias("t")))))
-        return Val(TEXT, F.array_join(F.transform(items, lambda x: x["t"]), ", " if extra is None else extra), err)
+        return Val(TEXT, joined(F.transform(items, lambda x: x["t"]), extra), err)
     n = as_number(v)
     if n.err is not None:
         err = F.min(n.err)
@@ -441,7 +445,7 @@ def aggregate_values(name: str, values: list[Val], extra: Column | None = None)
     if name in ("COUNTD", "LISTAGG"):
         texts = F.filter(F.array(*(F.when(~is_blank(v), as_text(v)) for v in values)), lambda x: x.isNotNull())
         if name == "LISTAGG":
-            return Val(TEXT, F.array_join(texts, ", " if extra is None else extra), err)
+            return Val(TEXT, joined(texts, extra), err)
         return Val(NUM, F.size(F.array_distinct(F.transform(texts, F.lower))).cast("double"), err)
     numbers = [as_number(v) for v in values]
     err = errors(*numbers)

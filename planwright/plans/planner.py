@@ -1040,7 +1040,7 @@ def over(name: str, v: Val, w, order: Column, extra: Val | None) -> Val:
     if name == "COUNTD":
         return Val(NUM, F.size(F.array_distinct(F.transform(xs, lambda x: F.lower(x.cast("string"))))).cast("double"), err)
     if name == "LISTAGG":
-        return Val(TEXT, F.array_join(F.transform(xs, lambda x: x.cast("string")), ", " if extra is None else extra.col), err)
+        return Val(TEXT, lib.joined(F.transform(xs, lambda x: x.cast("string")), None if extra is None else extra.col), err)
     if name == "MEDIAN":
         s = F.sort_array(xs)
         n = F.size(s)
