@@ -41,8 +41,9 @@ def header(names: list[str]) -> list[str]:
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """All columns as text under slugged names, with row order; blank rows are dropped."""
-    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, inferSchema=False, ignoreLeadingWhiteSpace=False)
-    df = df.toDF(*header([c.strip() for c in df.columns]))
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": True, "inferSchema": False}
+    names = spark.read.csv(path, header=False, **options).first()  # as written: a header read by Spark renames its repeats
+    df = spark.read.csv(path, header=True, **options).toDF(*header([(n or "").strip() for n in names]))
     blank = None
     for c in df.columns:
         b = F.coalesce(F.trim(c), F.lit("")) == ""
