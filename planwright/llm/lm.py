@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, encoding
 from .neardup import mix
 
 U = np.uint64
@@ -35,7 +35,7 @@ START, END = U(0x51A27), U(0xE2D)  # hashes that stand for no word (a word's are
 #: Counts up to K are discounted by Good-Turing; greater ones give up KEEP_BACK each, so that every
 #: context has something for words not seen after it.
 K, KEEP_BACK = 5, 0.01
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 1_500_000
 GROUP_TOKENS = 1_500_000
 LOG10 = np.log(10.0)
 
@@ -117,13 +117,14 @@ def chunks(docs: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            h, bounds = word_hashes(b.column(1))
-            ids.extend(b.column(0).to_pylist())
-            tokens.append(h)
-            lengths.append(np.diff(bounds))
-            size += len(h)
-            if size >= CHUNK_TOKENS:
-                yield close()
+            for i, j in encoding.slices(b.column(1), 6_000_000):
+                h, bounds = word_hashes(b.column(1).slice(i, j - i))
+                ids.extend(b.column(0).slice(i, j - i).to_pylist())
+                tokens.append(h)
+                lengths.append(np.diff(bounds))
+                size += len(h)
+                if size >= CHUNK_TOKENS:
+                    yield close()
         if ids:
             yield close()
 
