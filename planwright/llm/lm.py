@@ -129,7 +129,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             yield close()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
-    return rows.mapInArrow(run, CHUNKS)
+    return rows.mapInArrow(common.tidied(run), CHUNKS)
 
 
 class Chunk:
@@ -147,6 +147,7 @@ class Chunk:
         self.context[self.starts] = len(self.vocabulary)
         self.taught = np.repeat(self.learn, self.n)
         pairs, of = np.unique(self.context * (len(self.vocabulary) + 1) + self.word, return_inverse=True)
+        del numbers
         self.pair_context, self.pair_word = np.divmod(pairs, len(self.vocabulary) + 1)
         self.hashes = np.append(self.vocabulary, START)
         keys = mix(self.hashes[self.pair_context] * U(0x9E3779B97F4A7C15) + mix(self.hashes[self.pair_word]))
@@ -195,7 +196,7 @@ def requests(chunked: DataFrame, parts: int, folds: int, held: int) -> DataFrame
                     at = cuts(keys, parts)
                     yield _blobs([(kind, p, chunk, pack(keys[i:j], counts[i:j].astype("<u4"))) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i])
 
-    return chunked.select("chunk", "payload").mapInArrow(run, BLOBS)
+    return chunked.select("chunk", "payload").mapInArrow(common.tidied(run), BLOBS)
 
 
 def tables(asked: DataFrame) -> DataFrame:
@@ -352,12 +353,32 @@ def weigh(partial: DataFrame) -> DataFrame:
                 keys, doc = unpack(payloads[int(i)].as_py())
                 docs, back = np.unique(doc, return_inverse=True)
                 add = np.bincount(back, weights=log[np.searchsorted(unique, keys)])
-                out.append(_partial(len(docs), kind=[ADD] * len(docs), chunk=[chunk[i]] * len(docs), at=docs.astype(np.int32), score=add))
+                out.append(_partial(1, kind=[ADD], chunk=[chunk[i]], payload=[pack(docs.astype("<u4"), add)]))
         return pa.Table.from_batches(out or [_partial(0)])
 
     return partial.groupBy("part").applyInArrow(run, PARTIAL)
 
 
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def summed(weighed: DataFrame) -> DataFrame:
+    """A chunk's documents with what its parts add to them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        docs = table.filter(pa.array(kind == DOCUMENT)).sort_by("at")
+        score = docs.column("score").to_numpy().copy()
+        payloads = table.column("payload")
+        for i in np.flatnonzero(kind == ADD):
+            at, add = unpack(payloads[int(i)].as_py())
+            score[at] += add
+        names = [x.split()[0] for x in SCORED.split(", ")]
+        return docs.select(names).set_column(len(names) - 1, "score", pa.array(score))
+
+    return weighed.filter(F.col("kind").isin(DOCUMENT, ADD)).groupBy("chunk").applyInArrow(run, SCORED)
+
+
 def katz_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row a row of ``docs``."""
     spark = docs.sparkSession
@@ -373,6 +394,4 @@ def katz_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         s["of_counts"] = [a + b for a, b in zip(s["of_counts"], x["of_counts"], strict=True)]
     e = Estimates(stats)
     weighed = common.staged(weigh(evaluate(chunked, answers, e, parts, folds, held)), "lm-weighed", ["kind"])
-    rows = weighed.filter(F.col("kind").isin(DOCUMENT, ADD))
-    whole = rows.groupBy("chunk", "at").agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")), F.sum("score").alias("score"))
-    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(e.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return summed(weighed).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(e.tokens).cast("long").alias("train_tokens"), "base_score", "score")
