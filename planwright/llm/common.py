@@ -50,6 +50,26 @@ def prepare(spark: SparkSession) -> None:
     sc._planwright_shipped = True
 
 
+def tidied(run):
+    """A task's generator that gives memory back when it ends: Python workers are kept for other tasks."""
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not glibc
+            pass
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -29,7 +29,7 @@ from .rules import repeated_words
 
 SPACE, DIM, NEAR, MOST = 4_096, 64, 15, 2_048
 BLOCK = 512
-REMEMBER = 300_000
+REMEMBER = 150_000
 #: How much more a shape says than a word.
 SHAPE_WEIGHT = 4.0
 POWER = 8
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST) ->
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
     joined = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["label_id"]).select("doc_id", "text", "quality")
-    found = joined.mapInArrow(run, "doc_id long, quality int, c array<long>, w array<float>").toArrow()
+    found = joined.mapInArrow(common.tidied(run), "doc_id long, quality int, c array<long>, w array<float>").toArrow()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     y = found.column("quality").to_numpy().astype(float)
     lists = []
@@ -171,7 +171,7 @@ def score(docs: DataFrame, voters: Voters) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v.score([f(t) for t in b.column(1).to_pylist()]), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(common.tidied(run), "doc_id long, score double")
 
 
 def held_out_score(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, at: float = 0.7) -> DataFrame:

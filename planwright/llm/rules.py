@@ -66,7 +66,7 @@ def repeated_words(words: list[str]) -> int:
 
 def count(text: str) -> tuple[int, ...]:
     """COUNTS of one whole text."""
-    words = common.WORDS.findall(text)
+    words = common.words(text)
     lines = [x for x in text.split("\n") if x.strip(BLANK)]
     return (
         len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)),
@@ -85,7 +85,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "lang", "source", *COUNTS])
 
     cast = [docs[c].cast(t).alias(c) for c, t in (("doc_id", "long"), ("lang", "string"), ("source", "string"))]
-    return docs.select(*cast, common.text_or_empty(docs).alias("text")).mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select(*cast, common.text_or_empty(docs).alias("text")).mapInArrow(common.tidied(run), "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _vector() -> list[Column]:
@@ -202,8 +202,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, columns unchanged; rows of equal doc_id, lang and source go only together if each fails."""
-    verdicts = quality_rules(docs)
-    keep = verdicts.filter("kept").select(F.col("doc_id").alias("_k"), F.col("n_words").alias("_n"), F.col("word_chars").alias("_c")).distinct()
+    """The rows of ``docs`` that the rules keep, columns unchanged; rows alike in doc_id and words go only if all of them fail."""
+    verdicts = common.staged(quality_rules(docs), "rule-verdicts")
+    by = verdicts.groupBy(F.col("doc_id").alias("_k"), F.col("n_words").alias("_n")).agg(F.max("kept").alias("_any"))
+    gone = by.filter(~F.col("_any")).select("_k", "_n")
+    few = gone.limit(1_000_001).count() <= 1_000_000  # 16 bytes each; else both sides are shuffled
     sized = docs.withColumn("_n_words", F.regexp_count(common.text_or_empty(docs), F.lit(common.WORD)).cast("long"))
-    return sized.join(keep, sized["doc_id"].cast("long").eqNullSafe(keep["_k"]) & (sized["_n_words"] == keep["_n"]), "left_semi").select(*docs.columns)
+    same = sized["doc_id"].cast("long").eqNullSafe(gone["_k"]) & (sized["_n_words"] == gone["_n"])
+    return sized.join(F.broadcast(gone) if few else gone, same, "left_anti").select(*docs.columns)

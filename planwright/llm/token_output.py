@@ -99,7 +99,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
 
     ordered = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(write, SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(common.tidied(write), SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +119,7 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
                     ["part", "doc_id", "before", "n_tokens", "ids_crc32"],
                 )
 
-    found = segments.select("part", "before", "payload").mapInArrow(rows, ROW_SCHEMA)
+    found = segments.select("part", "before", "payload").mapInArrow(common.tidied(rows), ROW_SCHEMA)
     # One row a written file: as many as there were tasks, whatever the rows.
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
     offsets, total = [], 0

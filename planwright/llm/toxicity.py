@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from . import common
 
 SPACE = 1 << 20
-MOST, LEAST, KEEP = 8_000, 4, 8_192
+MOST, LEAST, KEEP = 4_000, 4, 8_192
 RANK, EPOCHS, BATCH, RATE = 8, 10, 128, 0.1
 DECAY_W, DECAY_V = 1e-4, 1e-3
 MARKS = ".,;:!?|#*$%&\"'()[]{}<>-_/\\"
-REMEMBER = 300_000
+REMEMBER = 150_000
 
 
 def bucket(term: str) -> int:
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST) ->
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
     joined = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["label_id"]).select("doc_id", "text", "toxic")
-    found = joined.mapInArrow(run, "doc_id long, toxic int, x array<long>").toArrow()
+    found = joined.mapInArrow(common.tidied(run), "doc_id long, toxic int, x array<long>").toArrow()
     y = found.column("toxic").to_numpy().astype(float)
     x = found.column("x").combine_chunks()
     offsets = x.offsets.to_numpy()
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(f(t)) for t in b.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(common.tidied(run), "doc_id long, score double")
 
 
 def held_out_score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
@@ -199,6 +199,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, held: i
     """The rows scored under 0.5, columns unchanged, in one pass over whole rows."""
     spark = docs.sparkSession
     model = fit(docs, labels, common.fold(F.col("label_id"), folds) != held)
+    common.prepare(spark)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -209,4 +210,4 @@ def filter_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, held: i
             clean = [m.score(f(t or "")) < 0.5 for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidied(run), docs.schema)
