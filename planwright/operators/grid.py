@@ -57,7 +57,7 @@ def grid_cells(engine, model: str, pivot: str, pages: dict | None = None, filter
         elif isinstance(f, dict):
             want = f.get("in", [f.get("eq")])
             members = members.filter(F.lower(F.col("_a").cast("string")).isin([str(x).lower() for x in want])).drop("_a")
-        df = df.join(F.broadcast(members) if d.id == p.line_dim else members, F.col(d.id) == F.col("_m")).withColumnRenamed("_o", f"_at_{d.id}").drop("_m")
+        df = df.join(members, F.col(d.id) == F.col("_m")).withColumnRenamed("_o", f"_at_{d.id}").drop("_m")
     return df
 
 

@@ -49,9 +49,9 @@ def period_column(planner, model: Model, df: DataFrame, date: Column, table: Tab
             months = {"quarter": 3, "year": 12}[table.grain]
             shift = first % months
             df = df.withColumn("_at", F.to_date(F.add_months(F.trunc(F.add_months("_when", -shift), unit), shift)))
-        out = df.join(F.broadcast(periods), F.col("_at") == F.col("_ps"), "left").drop("_at")
+        out = df.join(periods, F.col("_at") == F.col("_ps"), "left").drop("_at")
     else:
-        out = df.join(F.broadcast(periods), (F.col("_ps") <= F.col("_when")) & (F.col("_pe") >= F.col("_when")), "left")
+        out = df.join(periods, (F.col("_ps") <= F.col("_when")) & (F.col("_pe") >= F.col("_when")), "left")
     return out.drop("_when", "_ps", "_pe")
 
 

@@ -252,3 +252,23 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("ops").first()["op"] == "set_value"
+
+
+def test_workbook(spark):
+    import io
+    import zipfile
+
+    from planwright.sources import workbook
+
+    e = Engine(spark)
+    document.apply(e, DOC)
+    e.create_table("d", "facts", {"period": "ref:periods", "v": "number"}, [{"period": "fy2025", "v": 3}])
+    e.upsert_rows("d", "pl_lines", [{"id": "facts_total"}, {"id": "both"}, {"id": "spread"}])
+    e.set_rules("d", "pl", "facts_total = SUM(facts.v)\nboth = revenue * margin\nspread = MEDIAN(facts.v)", replace=False)
+    with zipfile.ZipFile(io.BytesIO(workbook.export(e, "d"))) as z:
+        text = {n: z.read(n).decode() for n in z.namelist()}
+    first = text["xl/worksheets/sheet1.xml"]
+    assert "SUMIFS('t_facts'!$C$2:$C$2,'t_facts'!$B$2:$B$2,&quot;fy2025&quot;)" in first.replace('"fy2025"', "&quot;fy2025&quot;")
+    assert "<f>(C3*D3)</f>" in first and "<f>(C2*(1+SUM('t_drivers'!$B$2:$B$2)))</f>" in first and 's="1"' in first
+    assert "MEDIAN" in text[f"xl/worksheets/sheet{sum(n.startswith('xl/worksheets') for n in text)}.xml"]
+    assert workbook.letter(0) == "A" and workbook.letter(26) == "AA" and workbook.letter(701) == "ZZ"
