@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import catalog as C
 from .analyze import refs as R
 from .errors import PlanError
-from .lang.syntax import Lit, Ref
+from .lang.syntax import Ref
 from .operators import calendar, merge
 from .plans.planner import Frame, Planner
 
@@ -497,13 +497,74 @@ class Engine:
             for m in self.models.values()
         }
 
-    def format_rules(self, model: str, pivot: str, line: str | None) -> str | None:
-        """The format of a line: the last format rule that holds for it whole, or the line's own attribute."""
+    def cell_format(self, model: str, pivot: str, at: dict, measure: str | None = None) -> str | None:
+        """How a cell is written: the last format rule that holds there, else what its members declare (a
+        percentage first, then the last dimension's), else the measure's."""
+        from .functions.formats import read_format
+        from .plans.planner import matches
+
         m = self.model(model)
         p = m.pivot(pivot)
-        self.planner.model = m
+        rows = {d.id: self.planner.members(d.table, m).get(at.get(d.id), {}) for d in p.dims}
         for r in reversed(p.rules):
-            if r.text.format and (r.line is None or R.find_line(self.planner, p, r.line) == line) and not r.text.when and isinstance(r.text.body, Lit):
+            if not r.text.format or (r.line is not None and R.find_line(self.planner, p, r.line) != at.get(p.line_dim)):
+                continue
+            ok = True
+            for s in r.text.when:
+                dim, attr = R.dim_of(m, p, s.path)
+                ok = ok and matches(rows[dim.id].get(attr[0]) if attr else at.get(dim.id), s)
+            if ok:
                 return str(r.text.body.value)
-        row = R.line_members(self.planner, p).get(line, {})
-        return row.get("format") or next((x.format for x in p.measures), None)
+        declared = [rows[d.id]["format"] for d in p.dims if rows[d.id].get("format")]
+        for f in declared:
+            spec = read_format(f)
+            if spec and spec.percent:
+                return f
+        if declared:
+            return declared[-1]
+        return next((x.format for x in p.measures if x.id == (measure or p.measures[0].id)), None)
+
+    # linked tables and copies
+
+    def set_source(self, model: str, table: str, source: dict) -> None:
+        """Where a table's rows come from (see sources.records.read_source)."""
+        self.model(model).table(table).source = dict(source)
+        self._wrote("set_source", model=model, table=table)
+
+    def refresh(self, model: str, table: str, secrets: dict | None = None, get=None) -> int:
+        """Fetches a linked table's rows and replaces (or, mode 'upsert', merges) them; how many came."""
+        from .sources import records
+
+        t = self.model(model).table(table)
+        if not t.source:
+            raise PlanError("BAD_SOURCE", f"{table!r} has no source")
+        rows = records.read_source(self.spark, t.source, secrets, **({"get": get} if get else {}))
+        self.upsert_rows(model, table, rows, replace=t.source.get("mode", "replace") == "replace")
+        t.source |= {"refreshed_at": dt.datetime.now(dt.timezone.utc).isoformat(), "rows": rows.count()}
+        return t.source["rows"]
+
+    def rename_table(self, model: str, table: str, new: str) -> None:
+        """References, dimensions and sources follow."""
+        m = self._new(model, new)
+        t = m.tables.pop(table)
+        t.id = new
+        m.tables[new] = t
+        for other in m.tables.values():
+            for f in other.fields.values():
+                f.ref = new if f.ref == table else f.ref
+        for p in m.pivots.values():
+            for d in p.dims:
+                d.table = new if d.table == table else d.table
+        self._wrote("rename_table", True, model=model, table=new)
+
+    def copy(self) -> "Engine":
+        """Another engine with the same models; writes to one leave the other."""
+        from dataclasses import replace
+
+        e = Engine(self.spark, self.who)
+        e.version, e.schema_version = self.version, self.schema_version
+        for m in self.models.values():
+            tables = {k: replace(t, fields={i: replace(f) for i, f in t.fields.items()}, rules=list(t.rules)) for k, t in m.tables.items()}
+            pivots = {k: replace(p, dims=[replace(d) for d in p.dims], measures=[replace(x) for x in p.measures], rules=list(p.rules), inputs=dict(p.inputs)) for k, p in m.pivots.items()}
+            e.models[m.id] = C.Model(m.id, tables, pivots, m.iterate)
+        return e

@@ -24,7 +24,7 @@ class Grid:
     columns: list[tuple]
     values: list[list]
     states: list[list]
-    formats: list[str | None]
+    formats: list[list]
     title: str | None = None
     labels: dict = field(default_factory=dict)
 
@@ -94,7 +94,7 @@ def layout(engine, model: str, pivot: str) -> dict:
     return {"rows": rows, "cols": cols, "pages": {d: engine.planner.edge(p.dim(d).table, "first") for d in dims if d not in rows + cols}}
 
 
-def query(engine, model: str, pivot: str, rows: list[str] | None = None, cols: list[str] | None = None, pages: dict | None = None, filters: dict | None = None, sort: dict | None = None, top: int | None = None, measure: str | None = None, title: str | None = None, formats: dict | None = None, max_rows: int | None = None) -> Grid:
+def query(engine, model: str, pivot: str, rows: list[str] | None = None, cols: list[str] | None = None, pages: dict | None = None, filters: dict | None = None, sort: dict | None = None, top: int | None = None, measure: str | None = None, title: str | None = None, formats: dict | None = None, max_rows: int | None = None, estimates: bool = False) -> Grid:
     """A rendered grid; its size is bounded, as a page is."""
     if rows is None and cols is None:
         default = layout(engine, model, pivot)
@@ -126,23 +126,29 @@ def query(engine, model: str, pivot: str, rows: list[str] | None = None, cols: l
             row_list = row_list[:top]
     if max_rows:
         row_list = row_list[:max_rows]
-    p = engine.model(model).pivot(pivot)
     fmt = []
-    for k in row_list:
-        line = k[rows.index(p.line_dim)] if p.line_dim in rows else (pages or {}).get(p.line_dim)
-        fmt.append((formats or {}).get(line) or engine.format_rules(model, pivot, line))
+    for r in row_list:
+        ats = [{**(pages or {}), **dict(zip(rows, r, strict=True)), **dict(zip(cols, c, strict=True))} for c in col_list]
+        p = engine.model(model).pivot(pivot)
+        fmt.append([(formats or {}).get(at.get(p.line_dim)) or engine.cell_format(model, pivot, at, measure) for at in ats])
+    if estimates:
+        for d in rows + cols:
+            frames = engine.planner.members(engine.model(model).pivot(pivot).dim(d).table, engine.model(model))
+            for i, r in frames.items():
+                if r.get("frame") == "fcst" and (d, i) in labels:
+                    labels[(d, i)] += "E"
     return Grid(rows, row_list, col_list, [[cell(by.get((r, c))) for c in col_list] for r in row_list], [[(by[(r, c)]["state"] if (r, c) in by else 0) for c in col_list] for r in row_list], fmt, title, {k: v for k, v in labels.items()} | {"cols": cols})
 
 
-def markdown(g: Grid, scale: float = 1.0, parentheses: bool = False) -> str:
-    """An aligned table; percentages are never scaled."""
+def markdown(g: Grid, scale: float = 1.0, parentheses: bool = False, most: int | None = None) -> str:
+    """An aligned table; percentages are never scaled; cut at ``most`` characters, which it says."""
     cols = g.labels.get("cols", [])
     head = [*g.row_dims, *(" / ".join(str(g.labels.get((d, m), m)) for d, m in zip(cols, c, strict=True)) or "value" for c in g.columns)]
     body = []
-    for key, values, spec in zip(g.rows, g.values, g.formats, strict=True):
-        f = read_format(spec)
+    for key, values, specs in zip(g.rows, g.values, g.formats, strict=True):
         shown = []
-        for v in values:
+        for v, spec in zip(values, specs, strict=True):
+            f = read_format(spec)
             if isinstance(v, (int, float)) and not isinstance(v, bool):
                 shown.append(write_number(v if f and (f.percent or f.date) else v / scale, f, parentheses))
             else:
@@ -152,13 +158,14 @@ def markdown(g: Grid, scale: float = 1.0, parentheses: bool = False) -> str:
     n = len(g.row_dims)
     line = lambda r: "| " + " | ".join(c.ljust(w) if i < n else c.rjust(w) for i, (c, w) in enumerate(zip(r, widths, strict=True))) + " |"
     rule = "|" + "|".join("-" * (w + 2) if i < n else "-" * (w + 1) + ":" for i, w in enumerate(widths)) + "|"
-    return "\n".join(([f"### {g.title}", ""] if g.title else []) + [line(head), rule, *map(line, body)])
+    text = "\n".join(([f"### {g.title}", ""] if g.title else []) + [line(head), rule, *map(line, body)])
+    return text if most is None or len(text) <= most else text[:most].rsplit("\n", 1)[0] + f"\n[cut at {most} characters]"
 
 
 def window_json(g: Grid) -> str:
     """Columnar JSON: headers, values row by row, states, and a table of formats with an index for each row."""
-    table = list(dict.fromkeys(f for f in g.formats if f))
-    return json.dumps({"rows": g.rows, "columns": g.columns, "values": [v for r in g.values for v in r], "states": [s for r in g.states for s in r], "formats": table, "format_of_row": [table.index(f) if f else None for f in g.formats]}, default=str)
+    table = list(dict.fromkeys(f for r in g.formats for f in r if f))
+    return json.dumps({"rows": g.rows, "columns": g.columns, "values": [v for r in g.values for v in r], "states": [s for r in g.states for s in r], "formats": table, "format_of_cell": [table.index(f) if f else None for r in g.formats for f in r]}, default=str)
 
 
 def error_summary(engine, model: str, pivot: str) -> DataFrame:

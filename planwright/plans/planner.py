@@ -82,11 +82,15 @@ class Planner:
             self._members[key] = {r["id"]: r.asDict() for r in rows}
         return self._members[key]
 
-    def member_id(self, table: str, member: object) -> str:
+    def owner(self, pivot: Pivot) -> Model:
+        return next(m for m in self.models.values() if m.pivots.get(pivot.id) is pivot)
+
+    def member_id(self, table: str, member: object, model: Model | None = None) -> str:
         """A member by id or else by name; the table is asked, not read whole."""
+        model = model or self.model
         text = str(int(member)) if isinstance(member, float) and member == int(member) else str(member)
-        key = (self.model.id, table)
-        df = self.model.table(table).df
+        key = (model.id, table)
+        df = model.table(table).df
         if key in self._members:
             rows = self._members[key]
             if text in rows:
@@ -102,9 +106,9 @@ class Planner:
             raise PlanError("NO_MEMBER", f"{text!r} is no member of {table!r}")
         return hit
 
-    def edge(self, table: str, which: str) -> str | None:
+    def edge(self, table: str, which: str, model: Model | None = None) -> str | None:
         """The first or last member."""
-        df = self.model.table(table).df
+        df = (model or self.model).table(table).df
         row = df.orderBy(ORD if which == "first" else F.desc(ORD)).select("id").first()
         return row["id"] if row else None
 
@@ -298,7 +302,7 @@ class Planner:
             if isinstance(x, Ref):
                 found = R.resolve(self, model, pivot, node[2], x, in_set)
                 if isinstance(found, R.Cells):
-                    owner = next(m for m in self.models.values() if found.pivot.id in m.pivots and m.pivots[found.pivot.id] is found.pivot)
+                    owner = self.owner(found.pivot)
                     how, by = "far", 0
                     if found.scalar or (found.line_set and all(p.how == "now" and not p.tests and not p.keys for p in found.picks.values())):
                         moves = [(d, p) for d, p in found.picks.items() if p.how != "now"]
@@ -583,8 +587,7 @@ class Planner:
     # cells elsewhere
 
     def _source(self, cells: R.Cells) -> Frame:
-        model = next(m for m in self.models.values() if cells.pivot.id in m.pivots and m.pivots[cells.pivot.id] is cells.pivot)
-        return self.frame(model, cells.pivot)
+        return self.frame(self.owner(cells.pivot), cells.pivot)
 
     def _node(self, source: Frame, cells: R.Cells, line: str | None) -> Node:
         return (source.model.id, cells.pivot.id, line, cells.measure)
@@ -630,7 +633,7 @@ class Planner:
         for d, p in picks.items():
             dim = cells_dim = source.pivot.dim(d)
             if p.how == "pin":
-                member = p.member if p.member is not None else self.edge(cells_dim.table, p.edge)
+                member = p.member if p.member is not None else self.edge(cells_dim.table, p.edge, source.model)
                 right = right.filter(F.col(f"d_{d}") == member)
             elif p.how == "now":
                 on.append((F.col(f"d_{p.partner}") if p.partner != reading.pivot.line_dim else F.lit(scope.line), f"d_{d}"))
@@ -642,7 +645,7 @@ class Planner:
             for t in p.tests:
                 v = Val(TEXT, F.col(f"d_{d}")) if not t.path else self.attribute(Scope(source, None), dim, t.path)
                 if not t.path and t.kind in ("pin", "set"):
-                    ids = [self.member_id(dim.table, m) for m in ((t.value.member,) if t.kind == "pin" else t.values)]
+                    ids = [self.member_id(dim.table, m, source.model) for m in ((t.value.member,) if t.kind == "pin" else t.values)]
                     c = F.col(f"d_{d}").isin(ids)
                     test = c if t.op in ("=", "in") else ~c
                 else:

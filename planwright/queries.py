@@ -620,6 +620,54 @@ def q_supplier_cube(spark, d):
     return e.wide("m", "cube").select("nation", "brand", (F.round("net", 4) + 0.0).alias("net"), "quantity", (F.round("price", 6) + 0.0).alias("price"))
 
 
+@query("q_histogram", """
+with e as (select min(l_extendedprice) as lo, quantile_cont(l_extendedprice, 0.99) as hi from lineitem)
+select least(floor((l_extendedprice - lo) / ((hi - lo) / 20)), 19)::int as bin, count(*)::bigint as n, round(sum(l_extendedprice), 2) + 0.0 as total from lineitem cross join e group by 1""")
+def q_histogram(spark, d):
+    from .operators import distribution
+
+    return rounded(distribution.histogram(spark.read.parquet(f"{d}/lineitem.parquet"), "l_extendedprice").select("bin", "n", "total"))
+
+
+@query("q_quantile_groups", """
+with b as (select quantile_cont(c_acctbal, [0.2, 0.4, 0.6, 0.8]) as b from customer)
+select (len(list_filter(b, lambda x: x < c_acctbal)) + 1)::int as grp, count(*)::bigint as n, min(c_acctbal) as low, max(c_acctbal) as high, round(sum(c_acctbal), 2) + 0.0 as total from customer cross join b group by 1""")
+def q_quantile_groups(spark, d):
+    from .operators import distribution
+
+    return rounded(distribution.quantile_groups(spark.read.parquet(f"{d}/customer.parquet"), "c_acctbal", 5))
+
+
+@query("q_cross_model", SALES + " select nk::varchar as nation, round(sum(v) * 2, 2) + 0.0 as twice from x group by nk")
+def q_cross_model(spark, d):
+    e = sales(spark, d, "amount = SUM(orders.total)", "amount")
+    e.create_model("other")
+    e.models["other"].tables["nation"] = e.models["m"].tables["nation"]
+    e.create_table("other", "lines", {}, [{"id": "twice"}])
+    e.create_pivot("other", "p", [("nation", "nation"), ("line", "lines")], "line")
+    e.set_rules("other", "p", "twice = SUM(m.sales.amount[period=all]) * 2")
+    return rounded(e.wide("other", "p"))
+
+
+@query("q_cohort_retention", """
+with f as (select o_custkey, date_trunc('year', min(o_orderdate)) as c from orders group by 1),
+a as (select distinct o_custkey, date_trunc('year', o_orderdate) as y from orders)
+select 'fy' || year(c) as cohort, 'fy' || year(y) as year, count(*)::double as active from f join a using (o_custkey) group by all""")
+def q_cohort_retention(spark, d):
+    e = star(spark, d, "region", "nation", "customer", "orders")
+    first = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").cast("string").alias("id")).agg(F.year(F.min("o_orderdate")).alias("y"))
+    e.create_periods("m", "years", "1995-01", 7, "year")
+    e.create_periods("m", "cohorts", "1995-01", 7, "year")
+    e.create_table("m", "joined", {"cohort": "ref:cohorts"}, df=first.select("id", F.concat(F.lit("fy"), "y").alias("cohort"), F.col("id").cast("long").alias(ORD)))
+    e.add_field("m", "orders", {"id": "year", "ref": "years", "computed": True})
+    e.add_field("m", "orders", {"id": "member", "ref": "joined", "computed": True})
+    e.set_rules("m", "orders", "year = PERIOD(date, years)\nmember = customer.id", replace=False)
+    e.create_table("m", "lines", {}, [{"id": "active"}])
+    e.create_pivot("m", "p", [("cohort", "cohorts"), ("line", "lines"), ("year", "years")], "line")
+    e.set_rules("m", "p", "active = COUNTD(orders.customer[member.cohort=@cohort])")
+    return e.wide("m", "p").filter("active > 0")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -272,3 +272,42 @@ def test_workbook(spark):
     assert "<f>(C3*D3)</f>" in first and "<f>(C2*(1+SUM('t_drivers'!$B$2:$B$2)))</f>" in first and 's="1"' in first
     assert "MEDIAN" in text[f"xl/worksheets/sheet{sum(n.startswith('xl/worksheets') for n in text)}.xml"]
     assert workbook.letter(0) == "A" and workbook.letter(26) == "AA" and workbook.letter(701) == "ZZ"
+
+
+def test_cell_formats(spark):
+    e = Engine(spark)
+    e.create_model("m")
+    e.create_table("m", "lines", {"name": "text", "format": "text"}, [{"id": "revenue", "name": "Revenue", "format": "currency"}, {"id": "margin", "name": "Margin", "format": "percent"}, {"id": "heads", "name": "Heads"}])
+    e.create_table("m", "versions", {"format": "text"}, [{"id": "plan"}, {"id": "pct", "format": "percent"}])
+    e.create_pivot("m", "p", [("line", "lines"), ("version", "versions")], "line")
+    e.set_rules("m", "p", 'revenue = 1234567.8\nrevenue[version=pct] = 0.05\nmargin = 0.1219\nheads = 42\nformat heads = int\nformat revenue[version=pct] = "0.00%"')
+    text = grid.markdown(grid.query(e, "m", "p", ["line"], ["version"]))
+    assert "$1,234,568" in text and "12.2%" in text and "| 42 |" in text.replace("  ", " ").replace("  ", " ") and "5.00%" in text
+    assert grid.markdown(grid.query(e, "m", "p", ["line"], ["version"]), most=60).endswith("characters]")
+
+
+def test_linked_table_rename_and_copy(spark):
+    e = Engine(spark)
+    e.create_model("m")
+    e.create_table("m", "names", {}, [{"id": "p"}, {"id": "old"}])
+    e.create_table("m", "px", {"a": "number"}, [{"id": "old", "a": 1}])
+    e.set_source("m", "px", {"url": "https://x/1", "fields": {"id": "id", "a": ["a", "number"]}})
+    assert e.refresh("m", "px", get=lambda u: '[{"id": "p", "a": 4}]') == 1
+    assert [(r["id"], r["a"]) for r in e.table("m", "px").collect()] == [("p", 4.0)]
+    e.create_table("m", "q", {"name": "ref:names"}, [{"name": "p"}])
+    c = e.copy()
+    e.rename_table("m", "names", "people")
+    assert e.model("m").tables["q"].fields["name"].ref == "people" and c.model("m").tables["q"].fields["name"].ref == "names"
+    c.set_cell("m", "px", "p", "a", 9)
+    assert e.get_field("m", "px", "p", "a") == 4.0 and c.get_field("m", "px", "p", "a") == 9.0
+
+
+def test_body_source(spark):
+    from planwright.sources import http_source
+
+    r = http_source.BodyReader({"urls": json.dumps(["https://a/1", "https://a/1", "https://a/2"])})
+    r.get, r.check = (lambda u: f"body of {u}"), (lambda u: None)
+    assert [x for p in r.partitions() for x in r.read(p)] == [(0, "https://a/1", "body of https://a/1"), (1, "https://a/2", "body of https://a/2")]
+    with pytest.raises(PlanError):
+        http_source.BodyReader({"urls": json.dumps([f"https://a/{i}" for i in range(100)])})
+    assert http_source.BodySource.name() == "planwright_bodies"
