@@ -60,7 +60,7 @@ class Planner:
     def __init__(self, spark: SparkSession, models: dict[str, Model]):
         self.spark, self.models = spark, models
         self.frames: dict[tuple[str, str], Frame] = {}
-        self.ready: dict[tuple[str, str], DataFrame] = {}
+        self.ready: dict[tuple, DataFrame] = {}
         self._members: dict[tuple[str, str], dict[str, dict]] = {}
         self._ids = itertools.count()
         self.model: Model | None = None
@@ -127,13 +127,15 @@ class Planner:
 
     # tables
 
-    def table(self, model: Model, id: str) -> DataFrame:
-        """A table with its computed fields."""
-        key = (model.id, id)
-        if key not in self.ready:
-            from .tables import plan_table
+    def table(self, model: Model, id: str, need: set[str] | None = None) -> DataFrame:
+        """A table with its computed fields: all, or those that ``need`` takes, so that no others are joined for."""
+        from .tables import needed_fields, plan_table
 
-            self.ready[key] = plan_table(self, model, model.table(id))
+        table = model.table(id)
+        only = None if need is None else frozenset(needed_fields(table, need))
+        key = (model.id, id, only)
+        if key not in self.ready:
+            self.ready[key] = plan_table(self, model, table, only)
         return self.ready[key]
 
     def follow(self, model: Model, table: Table, df: DataFrame, path: tuple[str, ...], name: str) -> tuple[DataFrame, str]:
@@ -158,7 +160,7 @@ class Planner:
                 df = df.withColumn(name, at)
                 continue
             temp, key = (name if i == len(path) - 1 else self.fresh("f_")), self.fresh("k_")
-            side = self.table(model, owner.id).select(F.col("id").alias(key), F.col(step).alias(temp))
+            side = self.table(model, owner.id, {step}).select(F.col("id").alias(key), F.col(step).alias(temp))
             df = df.join(side, at == F.col(key), "left").drop(key)
             at, step_from = F.col(temp), step
         return df, "text" if step_from == "id" else owner.fields[step_from].type
@@ -170,7 +172,7 @@ class Planner:
         if key not in self.frames:
             df = None
             for d in pivot.axes:
-                ids = self.table(model, d.table).select(F.col("id").alias(f"d_{d.id}"), F.col(ORD).alias(f"o_{d.id}"))
+                ids = self.table(model, d.table, set()).select(F.col("id").alias(f"d_{d.id}"), F.col(ORD).alias(f"o_{d.id}"))
                 df = ids if df is None else df.crossJoin(ids)
             frame = Frame(model, pivot, self.spark.range(1).select(F.lit(True).alias("one")) if df is None else df)
             self._inputs(frame)
@@ -218,7 +220,7 @@ class Planner:
         name = f"r_{dim}"
         if name not in frame.df.columns:
             t = frame.pivot.dim(dim).table
-            order = self.table(frame.model, t).select(F.col("id").alias("_rid"), (F.row_number().over(Window.orderBy(ORD)) - 1).alias(name))
+            order = self.table(frame.model, t, set()).select(F.col("id").alias("_rid"), (F.row_number().over(Window.orderBy(ORD)) - 1).alias(name))
             frame.df = frame.df.join(order, F.col(f"d_{dim}") == F.col("_rid")).drop("_rid")
         return name
 
@@ -243,7 +245,7 @@ class Planner:
         key = ("attr", dim.id, path)
         if key not in frame.extra:
             name, link = self.fresh("a_"), self.fresh("k_")
-            side, kind = self.follow(frame.model, table, self.table(frame.model, table.id), path, name)
+            side, kind = self.follow(frame.model, table, self.table(frame.model, table.id, {path[0]}), path, name)
             side = side.select(F.col("id").alias(link), name)
             frame.df = frame.df.join(side, F.col(f"d_{dim.id}") == F.col(link), "left").drop(link)
             frame.extra[key] = (name, kind)
@@ -797,7 +799,10 @@ class Planner:
         if extra is None:
             batch = self._siblings(scope, name, found)
         signature = self._row_keys(scope, found)
-        df = self.table(frame.model, found.table.id)
+        need = {p[0] for _, p, _ in signature} | {c.path[0] for _, c, _, _ in batch} | {s.path[0] for _, c, _, _ in batch for s in c.selectors}
+        if frame.pivot.line_dim:
+            need |= {p[0] for p in R.ref_paths(frame.model, found.table, frame.pivot.dim(frame.pivot.line_dim).table)}
+        df = self.table(frame.model, found.table.id, need)
         on: list[tuple[Column, str]] = []
         for left, path, ref in signature:
             g = self.fresh("g_")

@@ -55,15 +55,29 @@ def period_column(planner, model: Model, df: DataFrame, date: Column, table: Tab
     return out.drop("_when", "_ps", "_pe")
 
 
-def plan_table(planner, model: Model, table: Table) -> DataFrame:
-    """The table with every computed field that a rule writes."""
+def needed_fields(table: Table, need: set[str]) -> set[str]:
+    """The computed fields that some fields take, by the rules that write them."""
+    todo, out = {table.has(n) for n in need} - {None}, set()
+    while todo:
+        f = todo.pop()
+        if f in out or f not in table.fields or not table.fields[f].computed:
+            continue
+        out.add(f)
+        for r in table.rules:
+            if r.target == f and r.valid and not r.text.format:
+                todo |= own_fields(table, r.text.body, r.text.when)
+    return out
+
+
+def plan_table(planner, model: Model, table: Table, only: frozenset | None = None) -> DataFrame:
+    """The table with the computed fields that rules write (all, or ``only`` those)."""
     df = table.df
     for f in table.fields.values():
         if f.computed and f.id not in df.columns:
             df = df.withColumn(f.id, F.lit(None).cast(SPARK_TYPES[f.type]))
     rules: dict[str, list] = {}
     for r in table.rules:
-        if r.valid and not r.text.format:
+        if r.valid and not r.text.format and (only is None or r.target in only):
             rules.setdefault(r.target, []).append(r)
     t = TablePlan(planner, model, table, df)
     todo = dict(rules)
