@@ -29,7 +29,7 @@ BAND_ROWS, BANDS = 5, 40
 PERMUTATIONS = BAND_ROWS * BANDS // 2
 SEED = 20_240_607
 U = np.uint64
-REMEMBER = 400_000
+REMEMBER = 150_000
 #: Values kept of a signature for comparisons before the exact one, a byte each.
 SKETCH = 2 * PERMUTATIONS
 #: Rows of ids that may be broadcast (16 bytes each).
@@ -122,13 +122,15 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             ], ["doc_id", "n", "k1", "k2", "bands", "sketch"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
-    return rows.mapInArrow(run, SIGNED)
+    return rows.mapInArrow(common.tidied(run), SIGNED)
 
 
+#: Rounds against leaders before components are compared pair by pair; they only save work.
+ROUNDS = 2
 #: A sketch share under which no pair of likeness 0.8 falls (six deviations below it).
 SKETCH_LEAST = 0.63
 #: Members up to which a bucket's pairs are joined outright; larger ones are compared block by block.
-SMALL_BUCKET, BLOCK = 64, 512
+SMALL_BUCKET, BLOCK = 32, 512
 
 
 def _count_upto(df: DataFrame, most: int) -> bool:
@@ -152,7 +154,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, SKETCH) for i in (2, 3))
             yield b.select([0, 1]).filter(pa.array((x == y).mean(1) >= SKETCH_LEAST))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(common.tidied(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -173,14 +175,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     sets.append(s.astype(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), pa.array(sets, pa.list_(pa.int64()))], ["cid", "shingles"])
 
-    return joined.mapInArrow(run, "cid long, shingles array<long>")
+    return joined.mapInArrow(common.tidied(run), "cid long, shingles array<long>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are alike; pairs is staged."""
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = common.staged(ids.join(nodes, "cid").select("cid", "rep", "n", "k1", "k2"), "near-wanted")
-    sets = common.staged(_sets(docs, wanted, width), "near-sets")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are alike."""
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -188,19 +187,62 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int,
     return rows.filter(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
 
 
+def _to_leaders(placed: DataFrame, turn: int) -> DataFrame:
+    """For each component, its most shared pair with a leader of another one's in a bucket they share."""
+    order = lambda salt: F.struct(F.xxhash64("cid", F.lit(salt)).alias("h"), F.col("cid"), F.col("comp"))
+    lead = placed.groupBy("band").agg(F.min(order(2 * turn)).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    own = placed.groupBy("band", "comp").agg(F.min(order(2 * turn + 1))["cid"].alias("cid"))
+    met = own.join(lead.select("band", "lead"), "band").filter(F.col("comp") != F.col("lead.comp"))
+    votes = met.groupBy("comp", "cid", F.col("lead.cid").alias("leader")).agg(F.count(F.lit(1)).alias("c"))
+    best = votes.groupBy("comp").agg(F.max(F.struct("c", "cid", "leader")).alias("x"))
+    return best.select(F.least("x.cid", "x.leader").alias("a"), F.greatest("x.cid", "x.leader").alias("b")).distinct()
+
+
+def labelled(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least node reachable) of the links u-v."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        np.minimum.at(new, label[a], new[b])
+        np.minimum.at(new, label[b], new[a])
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, label (least node reachable) of every node of links (a, b), by stars that grow and shrink."""
+    """node, label (least node reachable) of every node of links (a, b).
+
+    Up to ``BROADCAST_ROWS`` links (16 bytes each) are joined in one task; more by stars that grow and
+    shrink, over shuffled partitions.
+    """
     edges = common.staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "near-edges")
+    if _count_upto(edges, BROADCAST_ROWS):
+
+        def run(frames):
+            import pandas as pd
+
+            got = [(f["u"].to_numpy(), f["v"].to_numpy()) for f in frames]
+            if got:
+                nodes, label = labelled(*(np.concatenate(x) for x in zip(*got, strict=True)))
+                yield pd.DataFrame({"node": nodes, "label": label})
+
+        return edges.coalesce(1).mapInPandas(run, "node long, label long")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        joined = both.join(least, "u").withColumn("m", F.least("m", "u"))
+        joined = both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", F.least("m", "u"))
         if large:
             out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
-            out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        return out.filter("u <> v").distinct()
+            # Every row of a node points it to the least; so its own link to the least is among them.
+            out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
+        return out.filter("u <> v")
 
     before = None
     while True:
@@ -208,18 +250,18 @@ def components(links: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
-        edges = common.staged(star(star(edges, True), False), "near-stars")
+        edges = common.staged(star(star(edges, True), False).distinct(), "near-edges")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components that sizes and sketches allow.  members: band, cid, comp."""
+def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket, enough to join them.  members: band, cid, comp."""
     split = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     open_ = common.staged(members.join(split.select("band", "size"), "band"), "near-open")
     small = open_.filter(F.col("size") <= SMALL_BUCKET)
     a, b = (small.select("band", F.col("cid").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
     joined = a.join(b, "band").filter("a < b and ca <> cb").select("a", "b").distinct()
-    found = _similar(joined, nodes, percent)
+    found = _confirmed(_similar(joined, nodes, percent), sets, percent)
     large = open_.filter(F.col("size") > SMALL_BUCKET)
     if large.isEmpty():
         return found
@@ -229,32 +271,52 @@ def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     own = F.col("c") > BLOCK
     part = F.when(own, F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("size") / BLOCK)))
     large = large.withColumn("owner", F.when(own, F.col("comp"))).withColumn("part", part)
-    large = common.staged(large.select("band", "owner", "part", "cid", "comp"), "near-large")
-    blocks = large.select("band", "owner", "part").distinct().withColumn("block", F.xxhash64("owner", "part"))
+    large = common.staged(large.select("band", "cid", "comp", F.xxhash64("owner", "part").alias("block"), "owner"), "near-large")
+    blocks = large.select("band", "owner", "block").distinct()
     x, y = (blocks.select("band", F.col("owner").alias(f"o{s}"), F.col("block").alias(f"k{s}")) for s in "xy")
     tasks = x.join(y, "band").filter("kx <= ky and (ox is null or oy is null or ox <> oy)").select("band", "kx", "ky")
-    rows = large.withColumn("block", F.xxhash64("owner", "part")).join(nodes.select("cid", "n", "sketch"), "cid")
-    left = tasks.join(rows, (tasks["band"] == rows["band"]) & (tasks["kx"] == rows["block"])).select(tasks["band"], "kx", "ky", "cid", "comp", "n", "sketch", F.lit(0).alias("side"))
-    right = tasks.filter("kx <> ky").join(rows, (tasks["band"] == rows["band"]) & (tasks["ky"] == rows["block"])).select(tasks["band"], "kx", "ky", "cid", "comp", "n", "sketch", F.lit(1).alias("side"))
+    rows = large.join(nodes.select("cid", "n", "sketch", "bands"), "cid").join(sets, "cid").withColumnRenamed("band", "_band")
+    side = lambda of, key, number: of.join(rows, (F.col("band") == F.col("_band")) & (F.col(key) == F.col("block"))).select("band", "kx", "ky", "cid", "comp", "n", "sketch", "bands", "shingles", F.lit(number).alias("side"))
+    both = side(tasks, "kx", 0).union(side(tasks.filter("kx <> ky"), "ky", 1))
 
     def compare(f):
         import pandas as pd
 
+        band = f["band"].iloc[0]
         p = f[f["side"] == 0]
         q = f[f["side"] == 1] if (f["side"] == 1).any() else p
         sp, sq = (np.frombuffer(b"".join(z["sketch"]), np.uint8).reshape(len(z), SKETCH) for z in (p, q))
-        np_, nq, cp, cq, ip, iq = p["n"].to_numpy(), q["n"].to_numpy(), p["comp"].to_numpy(), q["comp"].to_numpy(), p["cid"].to_numpy(), q["cid"].to_numpy()
-        out_a, out_b = [], []
+        bp, bq = np.stack(p["bands"]), np.stack(q["bands"])
+        np_, nq, cp, cq = p["n"].to_numpy(), q["n"].to_numpy(), p["comp"].tolist(), q["comp"].tolist()
+        ip, iq, xp, xq = p["cid"].to_numpy(), q["cid"].to_numpy(), p["shingles"].tolist(), q["shingles"].tolist()
+        root = {c: c for c in {*cp, *cq}}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
         for i in range(len(p)):
-            ok = (cq != cp[i]) & (100 * np.minimum(nq, np_[i]) >= percent * np.maximum(nq, np_[i]))
-            at = np.nonzero(ok)[0]
-            at = at[(sq[at] == sp[i]).mean(1) >= SKETCH_LEAST] if len(at) else at
-            out_a.append(np.minimum(iq[at], ip[i]))
-            out_b.append(np.maximum(iq[at], ip[i]))
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
+            mine = find(cp[i])
+            ok = (100 * np.minimum(nq, np_[i]) >= percent * np.maximum(nq, np_[i])) & np.fromiter((find(c) != mine for c in cq), bool, len(cq))
+            at = np.flatnonzero(ok)
+            if not len(at):
+                continue
+            at = at[(sq[at] == sp[i]).mean(1) >= SKETCH_LEAST]
+            # Each pair is looked at in the first bucket that it shares.
+            at = at[bp[i][(bq[at] == bp[i]).argmax(1)] == band]
+            for j in at.tolist():
+                if find(cp[i]) == find(cq[j]):
+                    continue
+                both = len(np.intersect1d(xp[i], xq[j], assume_unique=True))
+                if 100 * both >= percent * (np_[i] + nq[j] - both):
+                    out.append((min(ip[i], iq[j]), max(ip[i], iq[j])))
+                    root[find(cp[i])] = find(cq[j])
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    blocked = left.union(right).groupBy("band", "kx", "ky").applyInPandas(compare, "a long, b long")
-    return found.union(blocked).distinct()
+    return found.union(both.groupBy("band", "kx", "ky").applyInPandas(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -267,20 +329,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     nodes = common.staged(nodes, "near-nodes")
     banded = nodes.select("cid", F.explode("bands").alias("band"))
-    shared = common.staged(banded.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("leader")).filter("c > 1").select("band", "leader"), "near-buckets")
-    members = common.staged(banded.join(shared, "band").select("band", "cid", "leader"), "near-members")
-    # One leader a class: the one it shares most buckets with.
-    votes = members.filter("cid <> leader").groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("c"))
-    best = votes.groupBy("cid").agg(F.max(F.struct("c", "leader"))["leader"].alias("leader"))
-    first = best.select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct()
-    first = common.staged(_similar(first, nodes, percent), "near-pairs")
-    links = common.staged(_confirmed(docs, first, nodes, width, percent), "near-links")
-    reached = common.staged(components(links), "near-components")
-    placed = members.select("band", "cid").join(reached, members["cid"] == reached["node"], "left").select("band", "cid", F.coalesce("label", "cid").alias("comp"))
-    rest = common.staged(_across(placed, nodes, percent), "near-across")
-    if not rest.isEmpty():
-        more = common.staged(_confirmed(docs, rest, nodes, width, percent), "near-more")
-        reached = common.staged(components(links.union(more)), "near-components")
+    shared = common.staged(banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band"), "near-buckets")
+    members = common.staged(banded.join(shared, "band").select("band", "cid"), "near-members")
+    met = common.staged(members.select("cid").distinct().join(nodes.select("cid", "rep", "n", "k1", "k2", "sketch", "bands"), "cid"), "near-met")
+    sets = common.staged(_sets(docs, met.drop("sketch", "bands"), width), "near-sets")
+    links, reached = None, met.select(F.col("cid").alias("node"), F.col("cid").alias("label"))
+    for turn in range(ROUNDS + 1):
+        placed = members.join(reached, members["cid"] == reached["node"], "left").select("band", "cid", F.coalesce("label", "cid").alias("comp"))
+        placed = common.staged(placed, "near-placed")
+        last = turn == ROUNDS
+        found = _across(placed, met, sets, percent) if last else _confirmed(_similar(_to_leaders(placed, turn), met, percent), sets, percent)
+        new = common.staged(found, "near-links")
+        links = new if links is None else links.union(new)
+        if turn == 0 or not new.isEmpty():
+            reached = common.staged(components(links), "near-components")
     named = nodes.select("cid", "rep").join(reached, nodes["cid"] == reached["node"], "left").select("cid", "rep", F.coalesce("label", "cid").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     classes = named.join(least, "comp").select("cid", "component_id")

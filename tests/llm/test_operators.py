@@ -197,10 +197,13 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert all(got[i] == min(ids) for ids in want.values() for i in ids) and len(want) > 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 1_000_000])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", at_once)
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r["node"]: r["label"] for r in neardup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[100] == got[95] == got[90] == 90
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_mixing(docs, none):
