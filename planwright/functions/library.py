@@ -65,7 +65,7 @@ def operate(op: str, args: list[Val]) -> Val:
         if b.err is not None:
             later = F.when(open_, b.err)
             err = later if err is None else F.coalesce(err, later)
-        return Val(BOOL, col if err is None else F.when(err.isNull(), col), err)
+        return Val(BOOL, col, err)
     if op in ("=", "!=", "<", "<=", ">", ">="):
         return compare(op, a, b)
     if op == "&":
@@ -97,8 +97,7 @@ def if_(test: Val, yes: Val | None = None, no: Val | None = None) -> Val:
         if v.err is not None:
             own = F.when(where, v.err)
             err = own if err is None else F.coalesce(err, own)
-    col = F.when(t, y).otherwise(n)
-    return Val(kind, col if err is None else F.when(err.isNull(), col), err)
+    return Val(kind, F.when(t, y).otherwise(n), err)
 
 
 @define("IFERROR")

@@ -1,7 +1,7 @@
 """A typed value in a plan: a Column, and beside it a Column that names an error.
 
 Blank is null.  Numbers are doubles; dates are days since 1970-01-01 while they are computed with.
-Operators read a blank as 0, '' or false; a value with an error has a null column.
+Operators read a blank as 0, '' or false; a stored value with an error has a null column.
 """
 
 from __future__ import annotations
@@ -62,12 +62,21 @@ def errors(*values: Val) -> Column | None:
 
 
 def guarded(kind: str, col: Column, *values: Val, when: Column | None = None, code: str = "") -> Val:
-    """A result that is null where an argument has an error, or where ``when`` gives ``code``."""
+    """A result with its arguments' errors, or ``code`` where ``when`` holds.
+
+    Where there is an error the column may hold anything: it is made null when the value is stored, once,
+    so that plans do not grow with each operation.
+    """
     err = errors(*values)
     if when is not None:
         own = F.when(when, F.lit(code))
         err = own if err is None else F.coalesce(err, own)
-    return Val(kind, col if err is None else F.when(err.isNull(), col), err)
+    return Val(kind, col, err)
+
+
+def stored(v: Val) -> Val:
+    """With a null column where there is an error."""
+    return v if v.err is None else Val(v.kind, F.when(v.err.isNull(), v.col), v.err)
 
 
 def is_blank(v: Val) -> Column:
@@ -92,8 +101,7 @@ def _try_double(text: Column) -> Column:
 def number(v: Val) -> Val:
     """As a number, blank 0."""
     n = as_number(v)
-    col = F.coalesce(n.col, F.lit(0.0))
-    return Val(NUM, col if n.err is None else F.when(n.err.isNull(), col), n.err)
+    return Val(NUM, F.coalesce(n.col, F.lit(0.0)), n.err)
 
 
 def as_text(v: Val) -> Column:

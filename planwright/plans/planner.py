@@ -19,7 +19,7 @@ from ..analyze import refs as R
 from ..catalog import ORD, Dim, Model, Pivot, Rule, Table
 from ..errors import PlanError
 from ..functions import library as lib
-from ..functions.values import BLANK, BOOL, DATE, NUM, TEXT, Val, as_text, blank, compare, errors, from_field, is_blank, literal, same, to_field, truth, unify
+from ..functions.values import BLANK, BOOL, DATE, NUM, TEXT, Val, as_text, blank, compare, errors, from_field, is_blank, literal, same, stored, to_field, truth, unify
 from ..lang.syntax import At, Bound, Call, Lit, Op, Ref, Selector
 
 Node = tuple[str, str, str | None, str]  # model, pivot, line, measure
@@ -434,6 +434,18 @@ class Planner:
                 done[n] = self.cell_value(Scope(f, n[2]), n)
             for n, f in frames.items():
                 self._store(f, n, *done[n])
+            for f in {id(f): f for f in frames.values()}.values():
+                self._trim(f)
+
+    def _trim(self, frame: Frame) -> None:
+        """Writes a frame's axes and cells and goes on from there; what was added for references goes."""
+        from .cut import cut
+
+        keep = [c for c in frame.df.columns if c[:2] in ("d_", "o_", "r_") or c == "one"]
+        keep += [c for k, v in frame.extra.items() if k[0] == "input" for c in v]
+        keep += [c for x in frame.cells.values() for c in (x.value, x.error, x.state) if c]
+        frame.df = cut(frame.df.select(*dict.fromkeys(keep)))
+        frame.extra = {k: v for k, v in frame.extra.items() if k[0] == "input"}
 
     def _depth(self, frame: Frame) -> int:
         """Levels of the deepest hierarchy among a frame's dimensions, at most 100; of time, its periods."""
@@ -496,7 +508,7 @@ class Planner:
             if error is not None:
                 error = F.when(~has, error)
             state = F.when(has, 2).otherwise(F.lit(0) if state is None else state)
-        return Val(kind, value, error), state
+        return stored(Val(kind, value, error)), state
 
     def condition(self, scope: Scope, rule: Rule) -> Column | None:
         out = None

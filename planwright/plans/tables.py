@@ -13,7 +13,7 @@ from ..analyze import refs as R
 from ..catalog import ORD, SPARK_TYPES, Model, Table
 from ..errors import PlanError
 from ..functions import library as lib
-from ..functions.values import TEXT, Val, as_text, blank, errors, from_field, literal, number, same, to_field
+from ..functions.values import TEXT, Val, as_text, blank, errors, from_field, literal, number, same, stored, to_field
 from ..lang.syntax import At, Call, Lit, Op, Ref
 
 PART = F.shiftright(F.col(ORD), 33)
@@ -120,7 +120,7 @@ class TablePlan:
         err: Column | None = None
         for r in rules:
             self.planner.model = self.model
-            v = self.recurrence(field, r.text.body) or self.emit(r.text.body)
+            v = stored(self.recurrence(field, r.text.body) or self.emit(r.text.body))
             cond = self.condition(r)
             col = to_field(v, f.type)
             if f.type == "ref":
