@@ -33,7 +33,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Make this package importable by Python workers and bound their Arrow batches."""
     sc = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     if getattr(sc, "_planwright_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -29,7 +29,7 @@ BAND_ROWS, BANDS = 5, 40
 PERMUTATIONS = BAND_ROWS * BANDS // 2
 SEED = 20_240_607
 U = np.uint64
-REMEMBER = 150_000
+REMEMBER = 50_000
 #: Values kept of a signature for comparisons before the exact one, a byte each.
 SKETCH = 2 * PERMUTATIONS
 #: Rows of ids that may be broadcast (16 bytes each).

@@ -110,7 +110,7 @@ def rank_by_length(pieces: DataFrame) -> DataFrame:
             yield frame.assign(range=np.int32(part), nth=nth)
 
     keys = ["length", "doc_id", "start", "ids_crc32"]
-    return pieces.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInPandas(number, RANKED)
+    return pieces.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInPandas(common.tidied(number), RANKED)
 
 
 def pack_pieces(pieces: DataFrame, max_length: int = 1024) -> DataFrame:
@@ -140,7 +140,7 @@ def pack_pieces(pieces: DataFrame, max_length: int = 1024) -> DataFrame:
             sequence = table["first"].to_numpy()[hit] + rank - table["lo"].to_numpy()[hit]
             yield frame.drop(columns=["range", "nth"]).assign(sequence_id=sequence, offset=table["offset"].to_numpy()[hit])
 
-    return ranked.mapInPandas(place, PACKED)
+    return ranked.mapInPandas(common.tidied(place), PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, max_length: int = 1024) -> DataFrame:

@@ -30,7 +30,7 @@ MOST, LEAST, KEEP = 4_000, 4, 8_192
 RANK, EPOCHS, BATCH, RATE = 8, 10, 128, 0.1
 DECAY_W, DECAY_V = 1e-4, 1e-3
 MARKS = ".,;:!?|#*$%&\"'()[]{}<>-_/\\"
-REMEMBER = 150_000
+REMEMBER = 50_000
 
 
 def bucket(term: str) -> int:
