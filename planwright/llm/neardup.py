@@ -32,7 +32,7 @@ U = np.uint64
 REMEMBER = 50_000
 #: Values kept of a signature for comparisons before the exact one, a byte each.
 SKETCH = 2 * PERMUTATIONS
-#: Rows of ids that may be broadcast (16 bytes each).
+#: Rows of ids that may be broadcast (24 bytes each at most).
 BROADCAST_ROWS = 1_000_000
 
 
@@ -98,17 +98,22 @@ def bands(signatures: np.ndarray) -> np.ndarray:
     return mix((mix(grouped) * ROW_MULTIPLIERS).sum(2, dtype=U) ^ BAND_SALT)
 
 
-SIGNED = "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch binary"
+def text_hash(docs: DataFrame) -> Column:
+    """With doc_id, what verdicts are taken back by: ids may be null or repeat."""
+    return F.xxhash64(common.text_or_empty(docs))
+
+
+SIGNED = "doc_id long, text_hash long, n long, k1 long, k2 long, bands array<long>, sketch binary"
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (shingles), k1 and k2 (a checksum of the set), bands, sketch."""
+    """doc_id, text_hash, n (shingles), k1 and k2 (a checksum of the set), bands, sketch."""
     common.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Shingler(width)
         for b in batches:
-            sets = [f(t) for t in b.column(1).to_pylist()]
+            sets = [f(t) for t in b.column(2).to_pylist()]
             with np.errstate(over="ignore"):
                 k1 = np.array([mix(s).sum(dtype=U) for s in sets], U)
                 k2 = np.array([mix(s ^ U(SEED)).sum(dtype=U) for s in sets], U)
@@ -117,11 +122,11 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             mixed = iter(zip(keys.astype(np.int64), (mix(x) for x in full), strict=True))
             rows = [next(mixed) if len(s) else (np.empty(0, np.int64), np.empty(0, U)) for s in sets]
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1.astype(np.int64)), pa.array(k2.astype(np.int64)),
+                b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1.astype(np.int64)), pa.array(k2.astype(np.int64)),
                 pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([(r[1] >> U(56)).astype(np.uint8).tobytes() for r in rows], pa.binary()),
-            ], ["doc_id", "n", "k1", "k2", "bands", "sketch"])
+            ], ["doc_id", "text_hash", "n", "k1", "k2", "bands", "sketch"])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_hash(docs).alias("text_hash"), common.text_or_empty(docs).alias("text"))
     return rows.mapInArrow(common.tidied(run), SIGNED)
 
 
@@ -319,8 +324,8 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
     return found.union(both.groupBy("band", "kx", "ky").applyInPandas(compare, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id, kept: one row a row of ``docs``."""
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n, cid, component_id, comp (the group's own label; null without words): one row a row of ``docs``."""
     rows = common.staged(signed(docs, width), "near-signed").withColumn("cid", F.xxhash64("n", "k1", "k2"))
     full = rows.filter("n > 0")
     nodes = full.groupBy("cid").agg(
@@ -345,21 +350,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             reached = common.staged(components(links), "near-components")
     named = nodes.select("cid", "rep").join(reached, nodes["cid"] == reached["node"], "left").select("cid", "rep", F.coalesce("label", "cid").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    classes = named.join(least, "comp").select("cid", "component_id")
-    out = rows.select("doc_id", "n", "cid").join(classes, "cid", "left")
+    classes = named.join(least, "comp").select("cid", "comp", "component_id")
+    return rows.select("doc_id", "text_hash", "n", "cid").join(classes, "cid", "left")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id, kept: one row a row of ``docs``."""
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("cid").alias("class_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return _grouped(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("cid").alias("class_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def filter_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group, columns unchanged; rows without words all stay."""
-    found = common.staged(near_duplicates(docs, width, percent), "near-result")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = F.broadcast(gone) if _count_upto(gone, BROADCAST_ROWS) else gone
-    stay = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
-    repeated = found.filter("kept and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("_again"))
-    if repeated.isEmpty():
-        return stay
-    again = F.broadcast(repeated) if _count_upto(repeated, BROADCAST_ROWS) else repeated
-    same = stay["doc_id"].cast("long").eqNullSafe(again["_again"])
-    return stay.join(again, same, "left_anti").unionByName(stay.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each group, columns unchanged; rows without words all stay.
+
+    Verdicts hold for doc_id and text together, so rows whose doc_id is null or repeated are told apart.
+    """
+    found = common.staged(_grouped(docs, width, percent).filter("n > 0").groupBy("comp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c")), "near-result")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    first = found.groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("texts")).filter("texts > 1").select(F.col("comp").alias("_comp"), "first")
+    key = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
+    gone = common.staged(found.join(first, found["comp"] == first["_comp"]).filter(order != F.col("first")).select(*key), "near-gone")
+    repeated = found.filter("c > 1").select(*key)
+    hashed = docs.withColumn("_text_hash", text_hash(docs))
+
+    def matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = F.broadcast(keys) if _count_upto(keys, BROADCAST_ROWS) else keys
+        return rows.join(keys, rows["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (rows["_text_hash"] == keys["_hash"]), how)
+
+    stay = matching(hashed, gone, "left_anti")
+    if not repeated.isEmpty():
+        again = matching(stay, repeated, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+        stay = matching(stay, repeated, "left_anti").unionByName(again)
+    return stay.select(*docs.columns)

@@ -197,6 +197,25 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert all(got[i] == min(ids) for ids in want.values() for i in ids) and len(want) > 1
 
 
+@pytest.mark.parametrize("at_once", [0, 1_000_000])
+def test_near_dedup_tells_rows_of_one_id_apart(spark, monkeypatch, at_once):
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", at_once)
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    near = lambda k: text(k) + " more"
+    rows = [
+        (None, text("a"), 1), (None, text("b"), 2), (None, text("b"), 3), (None, None, 4), (None, " ", 5),  # two texts, one of them twice
+        (None, near("c"), 6), (1, text("c"), 7),  # a null-id near copy takes no other null-id row along
+        (2, text("d"), 8), (2, text("e"), 9), (3, text("e"), 10), (0, near("d"), 11),  # one id with two texts, one of them a copy
+        (5, text("f"), 12), (5, near("f"), 13), (5, text("g"), 14),  # a group under one id
+    ]
+    kept = neardup.filter_documents(spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3))
+    assert kept.columns == ["doc_id", "text", "row"]
+    found = sorted(r["row"] for r in kept.collect())
+    assert len(found) == len(set(found)) == 9
+    assert {1, 4, 5, 7, 9, 11, 14} < set(found) and len({2, 3} & set(found)) == 1 and len({12, 13} & set(found)) == 1
+    assert not {6, 8, 10} & set(found)
+
+
 @pytest.mark.parametrize("at_once", [0, 1_000_000])
 def test_components(spark, monkeypatch, at_once):
     monkeypatch.setattr(neardup, "BROADCAST_ROWS", at_once)
