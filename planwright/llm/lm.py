@@ -1,15 +1,17 @@
 """Language-model scoring by Katz backoff over words.
 
-Counts of words and of word pairs are Good-Turing discounted; what a context's pairs give up goes to the
-words not seen after it, by a weight that makes each context's probabilities sum to one exactly.
+Counts of words, of word pairs and so on up to ``order`` words are Good-Turing discounted; what a context's
+grams give up goes to the words not seen after it, in proportion to their probability after the context
+less its first word, by a weight that makes each context's probabilities sum to one exactly.
 
 The corpus is turned once into chunks (word numbers of whole documents, a local vocabulary of 64-bit word
 hashes).  Chunks ask hash-partitioned tables for totals: sorted hashes with local counts go out, packed
 by partition, and totals come back in the same order.  A second exchange by context sums what each
-distinct pair contributes, sets the backoff weight there and adds it up for the pairs that need it.  No
+distinct gram contributes, sets the backoff weight there and adds it up for the tokens that need it.  No
 table is ever held whole; a frequent word costs one entry a chunk.
 
-Tokens: words, A-Z lower-cased, then one end.  A pair's context is the word before, or the start.
+Tokens: words, A-Z lower-cased, then one end.  A gram's context is the words before; a text is preceded by
+starts.
 
 Nulls: a null text is empty (its end alone).  A null doc_id counts as the text 'null' for the fold.
 Repeated rows are counted and scored each.  Other columns are ignored.  An empty table gives no rows; with
@@ -133,35 +135,52 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 class Chunk:
-    """A chunk's documents, words and pairs, in the order in which tables are asked."""
+    """A chunk's documents and its grams of one word up to ``order``, in the order in which tables are asked.
 
-    def __init__(self, payload: bytes, learn):
+    By level (0 for words): ``keys`` of the distinct grams, ``of`` (each token's gram); above words also
+    ``context`` and ``at`` (each gram's context and a token where it stands) and ``hashes`` of the contexts,
+    which are the grams of the level below and then the start.
+    """
+
+    def __init__(self, payload: bytes, learn, order: int = 2):
         import zlib
 
-        ids, null, self.n, self.vocabulary, numbers = unpack(payload)
+        ids, null, self.n, vocabulary, numbers = unpack(payload)
         self.doc_ids = [None if x else int(d) for d, x in zip(ids, null, strict=True)]
         self.learn = np.fromiter((learn(zlib.crc32(("null" if d is None else str(d)).encode())) for d in self.doc_ids), bool, len(ids))
-        self.word = numbers.astype(np.int64)
+        word = numbers.astype(np.int64)
+        del numbers
         self.starts = np.cumsum(self.n, dtype=np.int64) - self.n
-        self.context = np.concatenate([[0], self.word[:-1]])
-        self.context[self.starts] = len(self.vocabulary)
         self.taught = np.repeat(self.learn, self.n)
-        pairs, of = np.unique(self.context * (len(self.vocabulary) + 1) + self.word, return_inverse=True)
-        del numbers
-        self.pair_context, self.pair_word = np.divmod(pairs, len(self.vocabulary) + 1)
-        self.hashes = np.append(self.vocabulary, START)
-        keys = mix(self.hashes[self.pair_context] * U(0x9E3779B97F4A7C15) + mix(self.hashes[self.pair_word]))
-        order = np.argsort(keys)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.keys, self.of = keys[order], rank[of]
-        self.pair_context, self.pair_word = self.pair_context[order], self.pair_word[order]
-
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.word[self.taught], minlength=len(self.vocabulary))
-
-    def pair_counts(self) -> np.ndarray:
-        return np.bincount(self.of[self.taught], minlength=len(self.keys))
+        self.keys, self.of, self.context, self.at, self.hashes = [vocabulary], [word], [None], [None], [None]
+        start = np.array([START])
+        for level in range(1, order):
+            hashes = np.append(self.keys[-1], start)
+            grams, of = np.unique(self.before(self.of[-1], len(self.keys[-1])) * len(vocabulary) + word, return_inverse=True)
+            context, last = np.divmod(grams, len(vocabulary))
+            keys = mix(hashes[context] * U(0x9E3779B97F4A7C15) + mix(vocabulary[last]))
+            start = mix(start * U(0x9E3779B97F4A7C15) + mix(np.array([START])))
+            order_ = np.argsort(keys)
+            rank = np.empty(len(order_), np.int64)
+            rank[order_] = np.arange(len(order_))
+            of = rank[of]
+            at = np.empty(len(keys), np.int64)
+            at[of] = np.arange(len(of))
+            self.keys.append(keys[order_])
+            self.of.append(of)
+            self.context.append(context[order_])
+            self.at.append(at)
+            self.hashes.append(hashes)
+
+    def before(self, x: np.ndarray, start: object) -> np.ndarray:
+        """What the token before has of ``x`` (a value a token); ``start`` where a text starts."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.starts] = start
+        return out
+
+    def counts(self, level: int) -> np.ndarray:
+        return np.bincount(self.of[level][self.taught], minlength=len(self.keys[level]))
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -178,7 +197,9 @@ def _learn_rule(folds: int, held: int):
 
 
 BLOBS = "kind int, part int, chunk long, payload binary"
-WORDS, PAIRS, WORD_STATS, PAIR_STATS, WORD_TABLE, PAIR_TABLE = range(6)
+#: Kinds of blobs: a gram's level, and that with STATS or TABLE added.
+WORDS, PAIRS, STATS, TABLE = 0, 1, 100, 200
+WORD_STATS, PAIR_STATS = STATS + WORDS, STATS + PAIRS
 
 
 def _blobs(rows: list[tuple]) -> pa.RecordBatch:
@@ -186,13 +207,14 @@ def _blobs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "part", "chunk", "payload"])
 
 
-def requests(chunked: DataFrame, parts: int, folds: int, held: int) -> DataFrame:
+def requests(chunked: DataFrame, parts: int, folds: int, held: int, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learn = _learn_rule(folds, held)
         for b in batches:
             for chunk, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                c = Chunk(payload.as_py(), learn)
-                for kind, keys, counts in ((WORDS, c.vocabulary, c.word_counts()), (PAIRS, c.keys, c.pair_counts())):
+                c = Chunk(payload.as_py(), learn, order)
+                for kind, keys in enumerate(c.keys):
+                    counts = c.counts(kind)
                     at = cuts(keys, parts)
                     yield _blobs([(kind, p, chunk, pack(keys[i:j], counts[i:j].astype("<u4"))) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i])
 
@@ -212,7 +234,7 @@ def tables(asked: DataFrame) -> DataFrame:
         unique, of = np.unique(keys, return_inverse=True)
         total = np.bincount(of, weights=counts, minlength=len(unique)).astype(np.int64)
         taught = np.flatnonzero(counts)
-        owner = np.zeros(len(keys), np.uint8)  # one chunk speaks for each distinct pair
+        owner = np.zeros(len(keys), np.uint8)  # one chunk speaks for each distinct gram
         owner[taught[np.unique(of[taught], return_index=True)[1]]] = 1
         rows, at = [], 0
         for c, (k, _) in zip(chunk, got, strict=True):
@@ -222,8 +244,8 @@ def tables(asked: DataFrame) -> DataFrame:
         seen = total > 0
         of_counts = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2].tolist()
         stats = {"tokens": int(total.sum()), "types": int(seen.sum()), "of_counts": of_counts}
-        rows.append((WORD_STATS + kind, part, -1, json.dumps(stats).encode()))
-        rows.append((WORD_TABLE + kind, part, -1, pack(unique[seen], total[seen].astype("<u4"))))
+        rows.append((STATS + kind, part, -1, json.dumps(stats).encode()))
+        rows.append((TABLE + kind, part, -1, pack(unique[seen], total[seen].astype("<u4"))))
         return pa.Table.from_batches([_blobs(rows)])
 
     return asked.groupBy("kind", "part").applyInArrow(run, BLOBS)
@@ -242,13 +264,13 @@ def discounts(of_counts: list[int]) -> np.ndarray:
 
 
 class Estimates:
-    """Discounted masses of word and pair counts."""
+    """Discounted masses of the counts of words and of longer grams."""
 
     def __init__(self, stats: dict[int, dict]):
-        words, pairs = stats[WORD_STATS], stats[PAIR_STATS]
+        words = stats[WORD_STATS]
         self.tokens, self.types = words["tokens"], words["types"]
-        self.word_d, self.pair_d = discounts(words["of_counts"]), discounts(pairs["of_counts"])
-        given = sum((1 - self.word_d[r]) * r * words["of_counts"][r] for r in range(1, K + 1))
+        self.d = [discounts(stats[k]["of_counts"]) for k in sorted(stats)]
+        given = sum((1 - self.d[WORDS][r]) * r * words["of_counts"][r] for r in range(1, K + 1))
         least = 1 / (self.tokens + self.types + 1)
         self.scale = 1.0
         self.unknown = given / self.tokens if self.tokens else 1.0
@@ -257,13 +279,16 @@ class Estimates:
 
     def word(self, c: np.ndarray) -> np.ndarray:
         """Probability of a word of count c; of the unknown word for 0."""
-        d = self.word_d[np.minimum(c, K)]
+        d = self.d[WORDS][np.minimum(c, K)]
         d = np.where(c > K, 1.0, d)
         return np.where(c > 0, self.scale * d * c / max(self.tokens, 1), self.unknown)
 
+    def mass(self, c: np.ndarray, level: int) -> np.ndarray:
+        """Discounted count of a gram of ``level`` (pairs or longer) seen c times."""
+        return np.where(c > K, c - KEEP_BACK, self.d[level][np.minimum(c, K)] * c * (1 - 1e-12))
+
     def pair_mass(self, c: np.ndarray) -> np.ndarray:
-        """Discounted count of a pair seen c times."""
-        return np.where(c > K, c - KEEP_BACK, self.pair_d[np.minimum(c, K)] * c * (1 - 1e-12))
+        return self.mass(c, PAIRS)
 
 
 PARTIAL = "kind int, part int, chunk long, at int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, payload binary"
@@ -277,27 +302,53 @@ def _partial(rows: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, FIELDS)
 
 
-def evaluate(chunked: DataFrame, answers: DataFrame, e: Estimates, parts: int, folds: int, held: int) -> DataFrame:
-    """Document sums but for backoff weights; what pairs give to contexts; what documents need of them."""
+def evaluate(chunked: DataFrame, answers: DataFrame, e: Estimates, parts: int, folds: int, held: int, order: int) -> DataFrame:
+    """Document sums but for backoff weights; what grams give to contexts; what documents need of them."""
 
     def run(chunk_rows: pa.Table, answer_rows: pa.Table) -> pa.Table:
         chunk = chunk_rows.column("chunk")[0].as_py()
-        c = Chunk(chunk_rows.column("payload")[0].as_py(), _learn_rule(folds, held))
+        c = Chunk(chunk_rows.column("payload")[0].as_py(), _learn_rule(folds, held), order)
         kind, part = answer_rows.column("kind").to_numpy(), answer_rows.column("part").to_numpy()
         blobs = answer_rows.column("payload")
-        got = {}
-        for k in (WORDS, PAIRS):
-            mine = np.flatnonzero(kind == k)
-            got[k] = [np.concatenate(x) for x in zip(*(unpack(blobs[int(i)].as_py()) for i in mine[np.argsort(part[mine])]), strict=True)]
-        count = got[WORDS][0].astype(np.int64)
-        pair_count, owner = got[PAIRS][0].astype(np.int64), got[PAIRS][1].astype(bool)
-        end = count[np.searchsorted(c.vocabulary, END)]
-        context_count = np.append(count, end)  # as many starts as ends
-        n, before = count[c.word], context_count[c.context]
-        now = pair_count[c.of]
-        seen = now > 0
-        log = np.log10(e.word(n))
-        log[seen] = np.log10(e.pair_mass(now[seen])) - np.log10(before[seen])
+
+        def totals(level: int) -> tuple[np.ndarray, np.ndarray]:
+            mine = np.flatnonzero(kind == level)
+            total, owner = (np.concatenate(x) for x in zip(*(unpack(blobs[int(i)].as_py()) for i in mine[np.argsort(part[mine])]), strict=True))
+            return total.astype(np.int64), owner.astype(bool)
+
+        count, _ = totals(WORDS)
+        end = count[np.searchsorted(c.keys[WORDS], END)]  # as many starts as ends
+        n = now = count[c.of[WORDS]]
+        lower = e.word(n)  # each token's probability by the level below, where that has seen it
+        log = np.log10(lower)
+        token_doc = np.repeat(np.arange(len(c.doc_ids), dtype="<u4"), c.n)
+        give = []
+        for level in range(1, order):
+            context_count = np.append(count, end)
+            before = c.before(now, end)
+            count, owner = totals(level)
+            now = count[c.of[level]]
+            seen = now > 0
+            higher = np.zeros(len(now))
+            higher[seen] = e.mass(now[seen], level) / before[seen]
+            log[seen] = np.log10(higher[seen])
+            # Every distinct gram gives its context the mass it takes below and the count it gives up, once.
+            context, r = c.context[level][owner], count[owner]
+            size = len(c.hashes[level])
+            took = np.bincount(context, weights=lower[c.at[level][owner]], minlength=size)
+            gave = np.bincount(context, weights=r - e.mass(r, level), minlength=size)
+            some = np.unique(context)
+            some = some[np.argsort(c.hashes[level][some])]
+            keys = c.hashes[level][some]
+            at = cuts(keys, parts)
+            give += [(GIVE, p, pack(keys[i:j], took[some[i:j]], gave[some[i:j]], context_count[some[i:j]].astype("<u4"))) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i]
+            lacking = np.flatnonzero(~seen & (before > 0))
+            keys = c.hashes[level][c.context[level][c.of[level][lacking]]]
+            by = np.argsort(keys, kind="stable")
+            keys, doc = keys[by], token_doc[lacking[by]]
+            at = cuts(keys, parts)
+            give += [(NEED, p, pack(keys[i:j], doc[i:j])) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i]
+            lower = higher
         sums = lambda x: np.add.reduceat(x, c.starts)
         docs = len(c.doc_ids)
         out = [_partial(
@@ -305,30 +356,13 @@ def evaluate(chunked: DataFrame, answers: DataFrame, e: Estimates, parts: int, f
             held_out=~c.learn, n_tokens=c.n.astype(np.int64), n_known=sums((n > 0).astype(np.int64)),
             base_score=sums(np.log10((n + 1) / (e.tokens + e.types + 1))), score=sums(log),
         )]
-        # Every distinct pair gives its context the word mass it takes and the count it gives up, once.
-        context, word, r = c.pair_context[owner], c.pair_word[owner], pair_count[owner]
-        size = len(c.hashes)
-        took = np.bincount(context, weights=e.word(count[word]), minlength=size)
-        gave = np.bincount(context, weights=r - e.pair_mass(r), minlength=size)
-        some = np.unique(context)
-        some = some[np.argsort(c.hashes[some])]
-        keys = c.hashes[some]
-        at = cuts(keys, parts)
-        give = [(GIVE, p, pack(keys[i:j], took[some[i:j]], gave[some[i:j]], context_count[some[i:j]].astype("<u4"))) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i]
-        lacking = np.flatnonzero(~seen & (before > 0))
-        doc = np.repeat(np.arange(docs), c.n)[lacking]
-        keys = c.hashes[c.context[lacking]]
-        order = np.argsort(keys, kind="stable")
-        keys, doc = keys[order], doc[order].astype("<u4")
-        at = cuts(keys, parts)
-        give += [(NEED, p, pack(keys[i:j], doc[i:j])) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i]
         if give:
             k, p, payload = zip(*give, strict=True)
             out.append(_partial(len(k), kind=k, part=p, chunk=[chunk] * len(k), payload=payload))
         return pa.Table.from_batches(out)
 
     left = chunked.select("chunk", "payload").groupBy("chunk")
-    right = answers.filter(F.col("kind").isin(WORDS, PAIRS)).select("kind", "part", "chunk", "payload").groupBy("chunk")
+    right = answers.filter(F.col("kind").isin(*range(order))).select("kind", "part", "chunk", "payload").groupBy("chunk")
     return left.cogroup(right).applyInArrow(run, PARTIAL)
 
 
@@ -379,19 +413,22 @@ def summed(weighed: DataFrame) -> DataFrame:
     return weighed.filter(F.col("kind").isin(DOCUMENT, ADD)).groupBy("chunk").applyInArrow(run, SCORED)
 
 
-def katz_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row a row of ``docs``."""
+def katz_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row a row of ``docs``.
+
+    ``order``: words in the longest gram.
+    """
     spark = docs.sparkSession
     chunked = common.staged(chunks(docs), "lm-chunks")
     total = chunked.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(common.shuffle_width(spark), total // GROUP_TOKENS)
-    answers = common.staged(tables(requests(chunked, parts, folds, held)), "lm-tables", ["kind"])
-    stats = {k: {"tokens": 0, "types": 0, "of_counts": [0] * (K + 2)} for k in (WORD_STATS, PAIR_STATS)}
-    for r in answers.filter(F.col("kind").isin(WORD_STATS, PAIR_STATS)).select("kind", "payload").collect():  # a row a part
+    answers = common.staged(tables(requests(chunked, parts, folds, held, order)), "lm-tables", ["kind"])
+    stats = {k: {"tokens": 0, "types": 0, "of_counts": [0] * (K + 2)} for k in range(STATS, STATS + order)}
+    for r in answers.filter(F.col("kind").isin(*stats)).select("kind", "payload").collect():  # a row a part
         x, s = json.loads(bytes(r["payload"])), stats[r["kind"]]
         s["tokens"] += x["tokens"]
         s["types"] += x["types"]
         s["of_counts"] = [a + b for a, b in zip(s["of_counts"], x["of_counts"], strict=True)]
     e = Estimates(stats)
-    weighed = common.staged(weigh(evaluate(chunked, answers, e, parts, folds, held)), "lm-weighed", ["kind"])
+    weighed = common.staged(weigh(evaluate(chunked, answers, e, parts, folds, held, order)), "lm-weighed", ["kind"])
     return summed(weighed).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(e.tokens).cast("long").alias("train_tokens"), "base_score", "score")

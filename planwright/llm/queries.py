@@ -11,6 +11,8 @@ from . import chat, common, fingerprint, lm, mixing, neardup, packing, quality_k
 
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 1024
+#: Words in the longest gram of the language model.
+ORDER = 3
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -33,7 +35,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.katz_scores(common.read(spark, sf_dir, "documents"))
+    return lm.katz_scores(common.read(spark, sf_dir, "documents"), order=ORDER)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -334,6 +334,55 @@ def test_katz(docs, none):
     assert lm.katz_scores(none).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_katz_recurses(docs, none, order):
+    tokens = [(r["doc_id"], WORD.findall((r["text"] or "").translate(LOWER)) + ["</s> "]) for r in docs.collect()]
+    grams = lambda t, k: zip(*(["<s> "] * (k - 1 - i) + t for i in range(k)))
+    counts = [Counter() for _ in range(order)]
+    for d, t in tokens:
+        if zlib.crc32(("null" if d is None else str(d)).encode()) % 7 != 2:
+            for k in range(order):
+                counts[k].update(grams(t, k + 1))
+    n = sum(counts[0].values())
+    of = lambda x: [0, *(sum(1 for y in x.values() if y == r) for r in range(1, lm.K + 2))]
+    e = lm.Estimates({lm.STATS + k: {"tokens": n, "types": len(c), "of_counts": of(c)} for k, c in enumerate(counts)})
+    context, after = Counter(), defaultdict(list)
+    for c in counts[1:]:
+        for g, r in c.items():
+            context[g[:-1]] += r
+            after[g[:-1]].append(g[-1])
+    mass = lambda g: float(e.mass(np.array([counts[len(g) - 1][g]]), len(g) - 1)[0])
+    weights = {}
+
+    def weight(h):
+        if h not in weights:
+            gave = sum(counts[len(h)][(*h, w)] - mass((*h, w)) for w in after[h])
+            weights[h] = gave / context[h] / (1 - sum(p((*h[1:], w)) for w in after[h]))
+        return weights[h]
+
+    def p(g):
+        if len(g) == 1:
+            return float(e.word(np.array([counts[0][g]]))[0])
+        if counts[len(g) - 1][g]:
+            return mass(g) / context[g[:-1]]
+        return p(g[1:]) * (weight(g[:-1]) if context[g[:-1]] else 1.0)
+
+    for h in [h for h in context if len(h) == order - 1][:10]:
+        assert sum(p((*h, w)) for (w,) in counts[0]) + p((*h, "never seen")) == pytest.approx(1, abs=1e-9)
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.katz_scores(docs, order=order).collect()}
+    for d, t in tokens:
+        assert got[d, len(t)] == pytest.approx(sum(math.log10(p(g)) for g in grams(t, order)), rel=1e-7)
+    assert lm.katz_scores(none, order=order).count() == 0
+
+
+def test_katz_query_counts_three_words(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(queries.common, "read", lambda *_: None)
+    monkeypatch.setattr(queries.lm, "katz_scores", lambda docs, **options: asked.update(options))
+    queries.op4_katz(spark, "")
+    assert asked == {"order": 3}
+
+
 def auc(y, p):
     rank = np.argsort(np.argsort(p))
     one = y == 1
