@@ -21,6 +21,8 @@ from ..lang.syntax import At, Call, Lit, Op, Ref
 from .store import rules_text
 
 MOST_ROWS = 100_000
+#: Rows of a table: what a sheet holds below its heading.
+MOST_TABLE_ROWS = 1_048_575
 SAME = {"IF", "AND", "OR", "NOT", "ABS", "SQRT", "EXP", "LN", "LOG10", "SIGN", "ROUND", "ROUNDUP", "ROUNDDOWN", "MOD", "POWER", "IFERROR", "LEFT", "RIGHT", "MID", "LEN", "LOWER", "UPPER", "TRIM", "SUBSTITUTE", "EXACT", "YEAR", "MONTH", "DAY", "WEEKDAY", "EOMONTH", "DATE", "PMT", "PV", "FV", "NPER", "RATE", "SLN", "SYD", "DDB", "IPMT", "PPMT", "TODAY", "ISBLANK", "ISNUMBER", "ISTEXT", "TRUNC", "MROUND", "TEXT", "VALUE"}
 IFS = {"SUM": "SUMIFS", "COUNT": "COUNTIFS", "AVG": "AVERAGEIFS", "AVERAGE": "AVERAGEIFS", "MIN": "MINIFS", "MAX": "MAXIFS"}
 
@@ -93,11 +95,19 @@ class PivotSheet:
         return letter(1 + len(self.axes) + self.lines.index(line))
 
 
+def table_rows(engine, model: str, table: str) -> list[dict]:
+    """All rows of a table, in order; formulas range over its sheet, so one that does not fit is refused."""
+    rows = engine.table(model, table).orderBy(ORD).limit(MOST_TABLE_ROWS + 1).collect()
+    if len(rows) > MOST_TABLE_ROWS:
+        raise PlanError("EXPORT_TOO_LARGE", f"{table!r} has over {MOST_TABLE_ROWS} rows")
+    return [r.asDict() for r in rows]
+
+
 def export(engine, model: str) -> bytes:
-    """The model as .xlsx bytes."""
+    """The model as .xlsx bytes; EXPORT_TOO_LARGE if a pivot or table has too many rows for its sheet."""
     m = engine.model(model)
     places = {p.id: PivotSheet(engine, m, p) for p in m.pivots.values()}
-    tables = {t.id: [r.asDict() for r in engine.table(model, t.id).orderBy(ORD).limit(MOST_ROWS).collect()] for t in m.tables.values()}
+    tables = {t.id: table_rows(engine, model, t.id) for t in m.tables.values()}
     sheets, notes = [], Sheet("Notes")
     notes.add("Sheet", "Cell", "Why it holds a value")
     for p in m.pivots.values():

@@ -274,6 +274,29 @@ def test_workbook(spark):
     assert workbook.letter(0) == "A" and workbook.letter(26) == "AA" and workbook.letter(701) == "ZZ"
 
 
+def test_workbook_holds_whole_tables(spark, monkeypatch):
+    import io
+    import zipfile
+
+    from planwright.sources import workbook
+
+    e = Engine(spark)
+    e.create_model("m")
+    e.create_table("m", "lines", {}, [{"id": "total"}])
+    n = 100_003
+    e.create_table("m", "facts", {"v": "number"}, df=spark.range(n).selectExpr("cast(id as string) id", "cast(1 as double) v"))
+    e.create_pivot("m", "p", [("line", "lines")], "line")
+    e.set_rules("m", "p", "total = SUM(facts.v)")
+    with zipfile.ZipFile(io.BytesIO(workbook.export(e, "m"))) as z:
+        text = {k: z.read(k).decode() for k in z.namelist()}
+    assert f"SUM('t_facts'!$B$2:$B${n + 1})</f><v>{float(n)}</v>" in text["xl/worksheets/sheet1.xml"]
+    assert any(x.count("<row ") == n + 1 for x in text.values())
+    monkeypatch.setattr(workbook, "MOST_TABLE_ROWS", n - 1)
+    with pytest.raises(PlanError) as refused:
+        workbook.export(e, "m")
+    assert refused.value.code == "EXPORT_TOO_LARGE"
+
+
 def test_cell_formats(spark):
     e = Engine(spark)
     e.create_model("m")
