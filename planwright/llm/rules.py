@@ -74,18 +74,27 @@ def count(text: str) -> tuple[int, ...]:
     )
 
 
+def _mark(c: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """Of all that a verdict depends on; with doc_id, what verdicts are taken back by."""
+    return F.xxhash64(common.text_or_empty(docs), _mark(docs["lang"]), _mark(docs["source"]))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, and COUNTS of every row."""
+    """doc_id, lang, source, row_hash, and COUNTS of every row."""
     common.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [count(t) for t in b.column(3).to_pylist()]
+            rows = [count(t) for t in b.column(4).to_pylist()]
             columns = zip(*rows, strict=True) if rows else [[]] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "lang", "source", *COUNTS])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "lang", "source", "row_hash", *COUNTS])
 
     cast = [docs[c].cast(t).alias(c) for c, t in (("doc_id", "long"), ("lang", "string"), ("source", "string"))]
-    return docs.select(*cast, common.text_or_empty(docs).alias("text")).mapInArrow(common.tidied(run), "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select(*cast, row_hash(docs).alias("row_hash"), common.text_or_empty(docs).alias("text")).mapInArrow(common.tidied(run), "doc_id long, lang string, source string, row_hash long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _vector() -> list[Column]:
@@ -173,8 +182,7 @@ def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
 
 def judge(stats: DataFrame) -> DataFrame:
     """Adds base_failed, distance (null where not judged) and kept to ``statistics`` rows (best staged)."""
-    mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    key = [mark("lang"), mark("source")]
+    key = [_mark(F.col("lang")), _mark(F.col("source"))]
     fit = stats.filter(~base_failed())
     groups = fit.groupBy(key[0].alias("gl"), key[1].alias("gs")).agg(F.count(F.lit(1)).alias("n"))
     by_lang = groups.groupBy(F.col("gl").alias("ll")).agg(F.sum(F.when(F.col("n") < LEAST, F.col("n")).otherwise(0)).alias("pool"))
@@ -198,15 +206,14 @@ def judge(stats: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, COUNTS, base_failed, distance, kept."""
-    return judge(common.staged(statistics(docs), "rule-statistics")).drop(*X)
+    return judge(common.staged(statistics(docs), "rule-statistics")).drop("row_hash", *X)
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, columns unchanged; rows alike in doc_id and words go only if all of them fail."""
-    verdicts = common.staged(quality_rules(docs), "rule-verdicts")
-    by = verdicts.groupBy(F.col("doc_id").alias("_k"), F.col("n_words").alias("_n")).agg(F.max("kept").alias("_any"))
-    gone = by.filter(~F.col("_any")).select("_k", "_n")
-    few = gone.limit(1_000_001).count() <= 1_000_000  # 16 bytes each; else both sides are shuffled
-    sized = docs.withColumn("_n_words", F.regexp_count(common.text_or_empty(docs), F.lit(common.WORD)).cast("long"))
-    same = sized["doc_id"].cast("long").eqNullSafe(gone["_k"]) & (sized["_n_words"] == gone["_n"])
-    return sized.join(F.broadcast(gone) if few else gone, same, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, columns unchanged, whether or not their doc_ids are null or repeated."""
+    verdicts = judge(common.staged(statistics(docs), "rule-statistics")).filter(~F.col("kept"))
+    gone = common.staged(verdicts.select(F.col("doc_id").alias("_k"), F.col("row_hash").alias("_h")).distinct(), "rule-verdicts")
+    few = gone.limit(1_000_001).count() <= 1_000_000  # 24 bytes each at most; else both sides are shuffled
+    hashed = docs.withColumn("_row_hash", row_hash(docs))
+    same = hashed["doc_id"].cast("long").eqNullSafe(gone["_k"]) & (hashed["_row_hash"] == gone["_h"])
+    return hashed.join(F.broadcast(gone) if few else gone, same, "left_anti").select(*docs.columns)

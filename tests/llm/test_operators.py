@@ -137,6 +137,17 @@ def test_quality_rules(spark, docs, none):
     assert rules.quality_rules(none).count() == 0 and rules.filter_documents(none).count() == 0
 
 
+def test_quality_rules_tell_rows_of_one_id_apart(spark):
+    r = random.Random(3)
+    clean = [" ".join(f"{a}{b}" for a, b in ((r.choice("abcdefgh") * r.randint(2, 7), r.randint(0, 999)) for _ in range(100))) for _ in range(80)]
+    repeated = " ".join(["one two three four"] * 25)  # as many words, in repeated windows
+    junk = " ".join(f"W{r.randint(0, 9999)}###" for _ in range(100))
+    rows = [(None, t, "en", "s") for t in clean] + [(None, t, "en", "s") for t in (repeated, junk)] + [(7, t, "en", "s") for t in (clean[0], repeated, junk)]
+    kept = rules.filter_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()
+    assert not {repeated, junk} & {x["text"] for x in kept}
+    assert [x["text"] for x in kept if x["doc_id"] == 7] == [clean[0]] and len(kept) >= 79
+
+
 def brute_groups(rows, width, percent):
     sets = {}
     for i, t in enumerate(rows):
