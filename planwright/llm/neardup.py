@@ -1,7 +1,8 @@
 """MinHash near-dedup with min-max signatures.
 
 Every permutation of the shingle hashes gives two values, its minimum and its maximum, so signatures cost
-half the hash evaluations.  Bands take five values of one kind, each from another permutation.  Texts of
+half the hash evaluations.  Bands take values of one kind, each from another permutation: five, or
+as few as the likeness asked for needs.  Texts of
 one shingle set are one class.  Classes that share a band are candidates; a link is confirmed on the full
 shingle sets, as whole numbers.
 
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BAND_ROWS, BANDS = 5, 40
-PERMUTATIONS = BAND_ROWS * BANDS // 2
+#: Values in a band at most, and the share of pairs that bands may miss at the likeness asked for.
+BAND_ROWS, MISSED = 5, 1e-6
+PERMUTATIONS = 100
 SEED = 20_240_607
 U = np.uint64
 REMEMBER = 50_000
@@ -47,7 +49,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, PERMUTATIONS).astype(U) * U(2) + U(1)
 ROW_MULTIPLIERS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BAND_ROWS).astype(U) * U(2) + U(1)
-BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+BAND_SALT = mix(np.arange(1, SKETCH + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
 class Shingler:
@@ -92,10 +94,24 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate([low, high])
 
 
-def bands(signatures: np.ndarray) -> np.ndarray:
-    """BANDS keys of each row of signatures."""
-    grouped = signatures.reshape(len(signatures), BANDS, BAND_ROWS)
-    return mix((mix(grouped) * ROW_MULTIPLIERS).sum(2, dtype=U) ^ BAND_SALT)
+def band_rows(percent: int) -> int:
+    """The most values in a band that let at most MISSED of the pairs of that likeness go by."""
+    for rows in (5, 4, 2, 1):  # a kind's values are dealt out whole
+        if (1 - (percent / 100) ** rows) ** (SKETCH // rows) <= MISSED:
+            return rows
+    raise ValueError(f"signatures of {SKETCH} values do not find pairs of {percent} percent likeness")
+
+
+def sketch_least(percent: int) -> float:
+    """A sketch share under which no pair of that likeness falls: six deviations below it, 0.63 from 80 percent on."""
+    p = min(percent, 80) / 100
+    return max(0.0, np.floor((p - 6 * np.sqrt(p * (1 - p) / SKETCH)) * 100) / 100)
+
+
+def bands(signatures: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
+    """A key for every ``rows`` values of each signature."""
+    grouped = signatures.reshape(len(signatures), SKETCH // rows, rows)
+    return mix((mix(grouped) * ROW_MULTIPLIERS[:rows]).sum(2, dtype=U) ^ BAND_SALT[: SKETCH // rows])
 
 
 def text_hash(docs: DataFrame) -> Column:
@@ -106,9 +122,10 @@ def text_hash(docs: DataFrame) -> Column:
 SIGNED = "doc_id long, text_hash long, n long, k1 long, k2 long, bands array<long>, sketch binary"
 
 
-def signed(docs: DataFrame, width: int) -> DataFrame:
+def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n (shingles), k1 and k2 (a checksum of the set), bands, sketch."""
     common.prepare(docs.sparkSession)
+    per = band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Shingler(width)
@@ -118,7 +135,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 k1 = np.array([mix(s).sum(dtype=U) for s in sets], U)
                 k2 = np.array([mix(s ^ U(SEED)).sum(dtype=U) for s in sets], U)
                 full = [signature(s) for s in sets if len(s)]
-                keys = bands(np.array(full)) if full else np.empty((0, BANDS), U)
+                keys = bands(np.array(full), per) if full else np.empty((0, SKETCH // per), U)
             mixed = iter(zip(keys.astype(np.int64), (mix(x) for x in full), strict=True))
             rows = [next(mixed) if len(s) else (np.empty(0, np.int64), np.empty(0, U)) for s in sets]
             yield pa.RecordBatch.from_arrays([
@@ -132,8 +149,6 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
 
 #: Rounds against leaders before components are compared pair by pair; they only save work.
 ROUNDS = 2
-#: A sketch share under which no pair of likeness 0.8 falls (six deviations below it).
-SKETCH_LEAST = 0.63
 #: Members up to which a bucket's pairs are joined outright; larger ones are compared block by block.
 SMALL_BUCKET, BLOCK = 32, 512
 
@@ -150,6 +165,7 @@ def _compatible(na: Column, nb: Column, percent: int) -> Column:
 def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow a link."""
     side = lambda x: nodes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    least = sketch_least(percent)
     rows = pairs.join(side("a"), "a").join(side("b"), "b").filter(_compatible(F.col("na"), F.col("nb"), percent)).select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +173,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             if not b.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, SKETCH) for i in (2, 3))
-            yield b.select([0, 1]).filter(pa.array((x == y).mean(1) >= SKETCH_LEAST))
+            yield b.select([0, 1]).filter(pa.array((x == y).mean(1) >= least))
 
     return rows.mapInArrow(common.tidied(run), "a long, b long")
 
@@ -284,6 +300,8 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
     side = lambda of, key, number: of.join(rows, (F.col("band") == F.col("_band")) & (F.col(key) == F.col("block"))).select("band", "kx", "ky", "cid", "comp", "n", "sketch", "bands", "shingles", F.lit(number).alias("side"))
     both = side(tasks, "kx", 0).union(side(tasks.filter("kx <> ky"), "ky", 1))
 
+    least = sketch_least(percent)
+
     def compare(f):
         import pandas as pd
 
@@ -309,7 +327,7 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
-            at = at[(sq[at] == sp[i]).mean(1) >= SKETCH_LEAST]
+            at = at[(sq[at] == sp[i]).mean(1) >= least]
             # Each pair is looked at in the first bucket that it shares.
             at = at[bp[i][(bq[at] == bp[i]).argmax(1)] == band]
             for j in at.tolist():
@@ -326,7 +344,7 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n, cid, component_id, comp (the group's own label; null without words): one row a row of ``docs``."""
-    rows = common.staged(signed(docs, width), "near-signed").withColumn("cid", F.xxhash64("n", "k1", "k2"))
+    rows = common.staged(signed(docs, width, percent), "near-signed").withColumn("cid", F.xxhash64("n", "k1", "k2"))
     full = rows.filter("n > 0")
     nodes = full.groupBy("cid").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"),

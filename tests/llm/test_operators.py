@@ -188,6 +188,28 @@ def test_near_duplicates(docs, none, width):
     assert neardup.near_duplicates(none).count() == 0 and neardup.filter_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("percent", [30, 50, 60, 70])
+def test_near_duplicates_of_less_likeness(spark, percent):
+    r = random.Random(percent)
+    rows = []
+    for i in range(40):  # a pair each, at the likeness asked for or a little above
+        n = 200
+        same = math.ceil(2 * n * percent / (100 + percent)) + r.randint(0, 2)
+        rows += [" ".join([f"{i}x{j}" for j in range(same)] + [f"{i}{side}{j}" for j in range(n - same)]) for side in "yz"]
+    _, group = brute_groups(rows, 1, percent)
+    assert len(set(group)) == 40
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(2)
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(df, 1, percent).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
+def test_bands_and_sketches_fit_the_likeness():
+    assert (neardup.band_rows(80), neardup.sketch_least(80)) == (neardup.band_rows(95), neardup.sketch_least(95)) == (5, 0.63)
+    assert neardup.band_rows(50) == 2 and neardup.sketch_least(60) < 0.4
+    with pytest.raises(ValueError):
+        neardup.band_rows(2)
+
+
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
     monkeypatch.setattr(neardup, "ROUNDS", 1)
