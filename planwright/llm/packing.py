@@ -6,6 +6,8 @@ each into the pack with the most room left, as counts of patterns.  Patterns go
 piece's rank among those of its length; ranks come from a sort by ranges and one offset a range, so a
 length that a third of all pieces share is spread like any other.
 
+Ids are those of plain text: a special token's string inside a text is spelled out (see ``encoding``).
+
 Nulls: a null text is empty, its end id alone makes a piece of length 1.  Repeated rows are packed each.
 Other columns are ignored.  An empty table gives no rows.
 """
