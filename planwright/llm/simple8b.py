@@ -49,15 +49,15 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     small = int(flat.max()) < 1 << 16
     kind = SMALL[flat] if small else np.searchsorted(LIMITS, flat, side="right").astype(np.uint8)
     widest = int(kind.max())
+    escaped = kind == len(BITS)  # fit no selector
+    widest = min(widest, len(BITS) - 1)
     choice = np.full(len(flat), widest + 2, np.uint8)
-    if widest == len(BITS):  # some fit no selector
-        choice[:] = np.where(kind == widest, ESCAPE, widest + 1)
-        widest -= 1
     for i in range(widest - 1, -1, -1):
         fits = _all_within(kind <= i, COUNT[i])
         if not fits.any():
             break
-        np.copyto(choice, np.uint8(i + 2), where=fits)
+        choice -= fits  # what fits a selector fits the next wider one, which holds fewer
+    choice[escaped] = ESCAPE
     # Blocks step on together, from word to word.
     at = np.arange(blocks) * STRIDE
     end = at + BLOCK

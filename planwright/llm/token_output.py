@@ -5,6 +5,8 @@ documents and writes segments (one row of a Parquet container each: part, seq, i
 part, payload), which any file system Spark can write to takes.  A payload holds the documents' ids and
 lengths, the block offsets and the Simple-8b words.
 
+Ids are those of plain text: a special token's string inside a text is spelled out (see ``encoding``).
+
 Nulls: a null text is empty (its end id alone); a null doc_id sorts first and stays null.  Repeated
 rows are written each, ordered by text.  Other columns are ignored.  An empty table gives no segments.
 """
@@ -99,7 +101,8 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
 
     ordered = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(common.tidied(write), SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
+    # Simple-8b words leave a compressor little to do.
+    ordered.mapInArrow(common.tidied(write), SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
