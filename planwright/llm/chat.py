@@ -32,9 +32,8 @@ def _role_out(role: Column) -> Column:
 
 
 def _role_in(role: Column) -> Column:
-    # Pairs of backslashes are set aside as a character that no escaped role holds: a newline.
-    aside = F.replace(role, F.lit("\\\\"), F.lit("\n"))
-    back = F.replace(F.replace(F.replace(aside, F.lit("\\n"), F.lit("\r\n")), F.lit("\n"), F.lit("\\")), F.lit("\r\\"), F.lit("\n"))
+    # Cut at pairs of backslashes, from the left; what is left between holds "\\n" for newlines only.
+    back = F.array_join(F.transform(F.split(role, r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
     return F.when(role == "\\0", F.lit(None).cast("string")).otherwise(back)
 
 
