@@ -8,7 +8,8 @@ compared with all of them, block by block, and the ``NEAR`` nearest vote, weight
 Labels are learnt from at most ``MOST`` rows of each class (those of least hash), whose votes are
 weighted back to the classes' shares.  Nulls: a null text is empty; a text without terms scores the share
 of label 1.  Null labels and labels of missing documents are not learnt from; with no labels every score
-is 0.5.  Repeated rows are scored each.  Other columns are ignored.
+is 0.5.  Repeated rows are scored each; of documents that share a labelled id the one of least text hash is
+learnt from, once for each class its labels name.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,28 +132,29 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST) ->
     pool = known.filter(learn).withColumn("_h", F.xxhash64("label_id"))
     few = [pool.filter(F.col("quality") == k).orderBy("_h", "label_id").limit(most) for k in (0, 1)]
     counts = {r["quality"]: r["n"] for r in pool.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = few[0].unionByName(few[1]).select("label_id", "quality")  # at most 2 * most rows
+    chosen = few[0].unionByName(few[1]).select("label_id", "quality").distinct()  # at most 2 * most rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Terms()
         for b in batches:
             x = [f(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([c for c, _ in x], pa.list_(pa.int64())), pa.array([w for _, w in x], pa.list_(pa.float32()))],
-                ["doc_id", "quality", "c", "w"],
+                [b.column(0), b.column(2), b.column(3), pa.array([c for c, _ in x], pa.list_(pa.int64())), pa.array([w for _, w in x], pa.list_(pa.float32()))],
+                ["doc_id", "h", "quality", "c", "w"],
             )
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
-    joined = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["label_id"]).select("doc_id", "text", "quality")
-    found = joined.mapInArrow(common.tidied(run), "doc_id long, quality int, c array<long>, w array<float>").toArrow()
-    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text")).withColumn("h", F.xxhash64("text"))
+    joined = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["label_id"]).select("doc_id", "text", "h", "quality")
+    terms_of = joined.mapInArrow(common.tidied(run), "doc_id long, h long, quality int, c array<long>, w array<float>")
+    # A row an id and class, however often its document is repeated.
+    found = terms_of.groupBy("doc_id", "quality").agg(F.min(F.struct("h", "c", "w")).alias("x")).select("doc_id", "quality", "x.c", "x.w")
+    found = found.toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     y = found.column("quality").to_numpy().astype(float)
     lists = []
     for name in ("c", "w"):
         x = found.column(name).combine_chunks()
         offsets, flat = x.offsets.to_numpy(), x.values.to_numpy()
-        lists.append([flat[offsets[i] : offsets[i + 1]] for i in order])
-    y = y[order]
+        lists.append([flat[i:j] for i, j in zip(offsets, offsets[1:], strict=False)])
     n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weight = np.array([counts.get(int(k), 0) / n[int(k)] for k in y])
     all_ = sum(counts.get(k, 0) for k in (0, 1))

@@ -1,16 +1,21 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms are a text's distinct lower-cased words (marks at their ends stripped) and their first four and five
-letters, hashed to ``SPACE`` buckets.  The score is logistic(bias + sum of weights + sum over pairs of
-<v_i, v_j>), so two terms together can mean what neither does alone.
+letters, hashed to ``SPACE`` buckets.  A word's weight and factors are the sums of its terms'.  The score is
+logistic(bias + sum of weights + sum over pairs of words of <v_i, v_j>), so two words together can mean
+what neither does alone, and no word pairs with its own beginnings.
 
 Labels are learnt from at most ``MOST`` rows of each class (those of least hash), weighted back to
 their share; buckets in fewer than ``LEAST`` of these documents, and all but the ``KEEP`` that tell the
-classes apart best by chi-square, are left out.  The model is of fixed size.
+classes apart best, are left out.  A bucket tells by its own chi-square, or by that among the documents
+that hold one of the ``ANCHORS`` buckets which tell most by themselves (less what the best of so many
+tries has by chance): a harmless word that turns an insult into something else is kept for the pair.
+The model is of fixed size.
 
 Nulls: a null text is empty and scores by the bias; labels that are null or whose document is missing
 are not learnt from; without both classes every score is the share of label 1 (0.5 with no labels).
-Repeated rows are scored each; repeated labels count each.  Other columns are ignored.
+Repeated rows are scored each; of documents that share a labelled id the one of least text hash is learnt
+from, once for each class its labels name.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +32,11 @@ from . import common
 
 SPACE = 1 << 20
 MOST, LEAST, KEEP = 4_000, 4, 8_192
-RANK, EPOCHS, BATCH, RATE = 8, 10, 128, 0.1
-DECAY_W, DECAY_V = 1e-4, 1e-3
+ANCHORS, TERMS = 64, 3
+RANK, EPOCHS, BATCH, RATE = 8, 10, 128, 0.05
+#: Decay over all rows; squared gradients counted at the start (so that first steps are not all of full
+#: length); spread of the factors' first values; their rate against the weights'.
+DECAY_W, DECAY_V, FIRST, SPREAD, V_RATE = 1.0, 1.0, 1e-3, 0.003, 0.5
 MARKS = ".,;:!?|#*$%&\"'()[]{}<>-_/\\"
 REMEMBER = 50_000
 
@@ -38,105 +46,160 @@ def bucket(term: str) -> int:
 
 
 def terms(word: str) -> tuple[int, ...]:
-    """Buckets of a lower-cased word."""
+    """TERMS buckets of a lower-cased word, -1 where it has fewer."""
     w = word.strip(MARKS)
     if not w:
         return ()
-    found = {bucket(w)}
-    for k in (4, 5):
-        if len(w) > k:
-            found.add(bucket(f"{k}^{w[:k]}"))
-    return tuple(found)
+    return (bucket(w), *(bucket(f"{k}^{w[:k]}") if len(w) > k else -1 for k in (4, 5)))
 
 
 class Featurizer:
-    """Distinct buckets of texts; ``only`` maps buckets to the model's columns and drops the rest."""
+    """The terms of a text's distinct words, a row a word."""
 
-    def __init__(self, only: dict[int, int] | None = None):
-        self.only, self.known = only, {}
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str) -> np.ndarray:
-        found: set[int] = set()
         known = self.known
         if len(known) > REMEMBER:
             known.clear()
+        found = set()
         for w in set(common.words(text.lower())):
             t = known.get(w)
             if t is None:
-                t = terms(w)
-                if self.only is not None:
-                    t = tuple(self.only[b] for b in t if b in self.only)
-                known[w] = t
+                t = known[w] = terms(w)
             if t:
-                found.update(t)
-        return np.fromiter(found, np.int64, len(found))
+                found.add(t)
+        return np.array(sorted(found), np.int32).reshape(-1, TERMS)
 
 
 class Machine:
-    """bias, buckets in column order, weights and factors."""
+    """bias, buckets in column order, weights and factors.  One more column, of zeros, is no bucket's."""
 
     def __init__(self, buckets: np.ndarray, bias: float):
         self.buckets, self.bias = buckets, bias
-        self.w = np.zeros(len(buckets))
-        self.v = np.random.default_rng(7).normal(0, 0.01, (len(buckets), RANK))
+        self.w = np.zeros(len(buckets) + 1)
+        self.v = np.random.default_rng(7).normal(0, SPREAD, (len(buckets) + 1, RANK))
+        self.v[-1] = 0
+
+    def columns(self) -> np.ndarray:
+        """Of every bucket, and at -1 of none."""
+        at = np.full(SPACE + 1, len(self.buckets), np.int32)
+        at[self.buckets] = np.arange(len(self.buckets), dtype=np.int32)
+        return at
+
+    def parts(self, x: np.ndarray) -> np.ndarray:
+        """For each word (a row of columns): its weight, its factors, their square."""
+        v = self.v[x].sum(1)
+        return np.concatenate([self.w[x].sum(1)[:, None], v, np.square(v).sum(1)[:, None]], 1)
+
+    def of_sum(self, s: np.ndarray) -> np.ndarray:
+        """The scores of texts, from the sums of their words' parts."""
+        raw = self.bias + s[..., 0] + 0.5 * (np.square(s[..., 1:-1]).sum(-1) - s[..., -1])
+        return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+
+
+class Scorer:
+    """Scores of whole texts; a worker's words are looked up in a table of their parts."""
+
+    def __init__(self, model: Machine):
+        self.model, self.at = model, model.columns()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.of_terms: dict[tuple[int, ...], int] = {(): 0}  # words alike but for marks are one word
+        self.rows = np.zeros((1, RANK + 2))  # row 0: words without a term
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        if len(self.known) > REMEMBER:
+            self.forget()
+        split = [set(common.words(t.lower())) for t in texts]
+        new = {w: terms(w) for w in set().union(*split) if w not in self.known}
+        unseen = [t for t in dict.fromkeys(new.values()) if t not in self.of_terms]
+        if unseen:
+            columns = self.at[np.array(unseen)]
+            kept = (columns < len(self.model.buckets)).any(1)
+            self.of_terms.update(zip(unseen, np.where(kept, len(self.rows) + np.cumsum(kept) - 1, 0).tolist(), strict=True))
+            self.rows = np.concatenate([self.rows, self.model.parts(columns[kept])])
+        self.known.update((w, self.of_terms[t]) for w, t in new.items())
+        out = np.empty(len(texts))
+        for i, words in enumerate(split):
+            rows = np.fromiter({self.known[w] for w in words}, np.int64)
+            out[i] = self.model.of_sum(self.rows[rows].sum(0))
+        return out
+
+
+def screen(flat: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The buckets to keep, ascending, from distinct (bucket, document) and the documents' labels."""
+
+    def chi(n: np.ndarray, n1: np.ndarray, total: float, ones: float) -> np.ndarray:
+        expected = n * ones / total
+        return np.square(n1 - expected) / np.maximum(expected * (1 - ones / total) * (1 - n / total) + 1e-9, 1e-9)
 
-    def columns(self) -> dict[int, int]:
-        return {int(b): i for i, b in enumerate(self.buckets)}
-
-    def raw(self, x: np.ndarray) -> float:
-        v = self.v[x]
-        s = v.sum(0)
-        return float(self.bias + self.w[x].sum() + 0.5 * (s @ s - np.square(v).sum()))
-
-    def score(self, x: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30))))
-
-
-def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> Machine:
-    """AdaGrad on logistic loss; rows hold distinct buckets."""
+    n = np.bincount(flat, minlength=SPACE)
+    seen = np.flatnonzero(n >= LEAST)
+    column = np.full(SPACE, -1)
+    column[seen] = np.arange(len(seen))
+    keep = column[flat] >= 0
+    x, doc = column[flat[keep]], doc[keep]
+    best = chi(n[seen], np.bincount(x, weights=y[doc], minlength=len(seen)), len(y), y.sum())
+    if len(seen) <= KEEP:
+        return seen
+    chance = 2 * np.log(ANCHORS)
+    for anchor in np.argsort(-best, kind="stable")[:ANCHORS]:
+        held = np.zeros(len(y), bool)
+        held[doc[x == anchor]] = True
+        mine = held[doc]
+        among, ones = held.sum(), y[held].sum()
+        here = np.bincount(x[mine], minlength=len(seen))
+        found = chi(here, np.bincount(x[mine], weights=y[doc[mine]], minlength=len(seen)), among, ones) - chance
+        best = np.where((here >= LEAST) & (here <= among - LEAST), np.maximum(best, found), best)
+    return np.sort(seen[np.argsort(-best, kind="stable")[:KEEP]])
+
+
+def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, factors: bool = True) -> Machine:
+    """AdaGrad on logistic loss; rows hold the terms of distinct words.  Without ``factors`` only weights are learnt."""
     share = float((weight * y).sum() / weight.sum()) if len(y) else 0.5
     bias = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if len(set(y.tolist())) < 2:
         return Machine(np.empty(0, np.int64), bias)
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows)), sizes)
-    n1 = np.bincount(flat, weights=y[doc], minlength=SPACE)
-    n = np.bincount(flat, minlength=SPACE)
-    total, ones = len(y), y.sum()
-    seen = np.nonzero(n >= LEAST)[0]
-    expected = n[seen] * ones / total
-    chi = np.square(n1[seen] - expected) / np.maximum(expected * (1 - ones / total) * (1 - n[seen] / total) + 1e-9, 1e-9)
-    chosen = np.sort(seen[np.argsort(-chi, kind="stable")[:KEEP]])
-    at = np.full(SPACE, -1)
-    at[chosen] = np.arange(len(chosen))
-    keep = at[flat] >= 0
-    flat, doc = at[flat][keep], doc[keep]
+    words = np.concatenate(rows)
+    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    pairs = np.unique(np.repeat(doc, TERMS)[words.ravel() >= 0] * SPACE + words[words >= 0])
+    m = Machine(screen(pairs % SPACE, pairs // SPACE, y), bias)
+    none = len(m.buckets)
+    if not factors:
+        m.v[:] = 0
+    words = m.columns()[words]
+    keep = (words < none).any(1)
+    words, doc = words[keep], doc[keep]
     bounds = np.searchsorted(doc, np.arange(len(rows) + 1))
-    m = Machine(chosen, bias)
-    gw, gv, gb = np.full(len(chosen), 1e-6), np.full((len(chosen), RANK), 1e-6), 1e-6
+    gw, gv, gb = np.full(none + 1, FIRST), np.full((none + 1, RANK), FIRST), FIRST
     weight = weight / weight.mean()
     order = np.random.default_rng(11)
     for _ in range(EPOCHS):
         for batch in np.array_split(order.permutation(len(rows)), max(1, len(rows) // BATCH)):
-            x = np.concatenate([flat[bounds[b] : bounds[b + 1]] for b in batch])
-            sizes = bounds[batch + 1] - bounds[batch]
-            d = np.repeat(np.arange(len(batch)), sizes)
-            v = m.v[x]
-            s = np.zeros((len(batch), RANK))
-            np.add.at(s, d, v)
-            raw = m.bias + np.bincount(d, weights=m.w[x], minlength=len(batch)) + 0.5 * (np.square(s).sum(1) - np.bincount(d, weights=np.square(v).sum(1), minlength=len(batch)))
-            error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[batch]) * weight[batch] / len(batch)
+            x = np.concatenate([words[bounds[b] : bounds[b + 1]] for b in batch])
+            d = np.repeat(np.arange(len(batch)), bounds[batch + 1] - bounds[batch])
+            parts = m.parts(x)
+            s = np.zeros((len(batch), RANK + 2))
+            np.add.at(s, d, parts)
+            error = (m.of_sum(s) - y[batch]) * weight[batch] / len(batch)
             u, back = np.unique(x, return_inverse=True)
-            dw = np.bincount(back, weights=error[d], minlength=len(u)) + DECAY_W * m.w[u] / 10
-            dv = np.zeros((len(u), RANK))
-            np.add.at(dv, back, error[d][:, None] * (s[d] - v))
-            dv += DECAY_V * m.v[u] / 10
+            back = back.ravel()
+            dw = np.bincount(back, weights=np.repeat(error[d], TERMS), minlength=len(u)) + DECAY_W * m.w[u] / len(rows)
+            real = u < none
+            u, dw = u[real], dw[real]
             gw[u] += np.square(dw)
-            gv[u] += np.square(dv)
-            gb += error.sum() ** 2
             m.w[u] -= RATE * dw / np.sqrt(gw[u])
-            m.v[u] -= RATE / 2 * dv / np.sqrt(gv[u])
+            if factors:
+                slope = error[d][:, None] * (s[d, 1:-1] - parts[:, 1:-1])
+                dv = np.stack([np.bincount(back, weights=np.repeat(slope[:, k], TERMS), minlength=len(real)) for k in range(RANK)], 1).astype(float)[real]
+                dv += DECAY_V * m.v[u] / len(rows)
+                gv[u] += np.square(dv)
+                m.v[u] -= RATE * V_RATE * dv / np.sqrt(gv[u])
+            gb += error.sum() ** 2
             m.bias -= RATE * error.sum() / np.sqrt(gb)
     return m
 
@@ -148,25 +211,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST) ->
     pool = known.filter(learn).withColumn("_h", F.xxhash64("label_id"))
     few = [pool.filter(F.col("toxic") == k).orderBy("_h", "label_id").limit(most) for k in (0, 1)]
     counts = {r["toxic"]: r["n"] for r in pool.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = few[0].unionByName(few[1]).select("label_id", "toxic")  # at most 2 * most rows
+    chosen = few[0].unionByName(few[1]).select("label_id", "toxic").distinct()  # at most 2 * most rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Featurizer()
         for b in batches:
-            x = [f(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.int64()))], ["doc_id", "toxic", "x"])
-
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
-    joined = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["label_id"]).select("doc_id", "text", "toxic")
-    found = joined.mapInArrow(common.tidied(run), "doc_id long, toxic int, x array<long>").toArrow()
+            x = [f(t).ravel() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(x, pa.list_(pa.int32()))], ["doc_id", "h", "toxic", "x"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text")).withColumn("h", F.xxhash64("text"))
+    joined = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["label_id"]).select("doc_id", "h", "text", "toxic")
+    terms_of = joined.mapInArrow(common.tidied(run), "doc_id long, h long, toxic int, x array<int>")
+    # A row an id and class, however often its document is repeated.
+    found = terms_of.groupBy("doc_id", "toxic").agg(F.min(F.struct("h", "x"))["x"].alias("x")).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     y = found.column("toxic").to_numpy().astype(float)
     x = found.column("x").combine_chunks()
-    offsets = x.offsets.to_numpy()
-    flat = x.values.to_numpy()
-    ids = found.column("doc_id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    rows_x = [flat[offsets[i] : offsets[i + 1]] for i in order]
-    y = y[order]
+    offsets, flat = x.offsets.to_numpy(), x.values.to_numpy()
+    rows_x = [flat[a:b].reshape(-1, TERMS) for a, b in zip(offsets, offsets[1:], strict=False)]
     n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weight = np.array([counts.get(int(k), 0) / n[int(k)] for k in y])
     return train(rows_x, y, weight)
@@ -179,10 +240,9 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        f = Featurizer(m.columns())
+        f = Scorer(shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(f(t)) for t in b.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
     return rows.mapInArrow(common.tidied(run), "doc_id long, score double")
@@ -204,10 +264,8 @@ def filter_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, held: i
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        f = Featurizer(m.columns())
+        f = Scorer(shared.value)
         for b in batches:
-            clean = [m.score(f(t or "")) < 0.5 for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array(clean))
+            yield b.filter(pa.array(f([t or "" for t in b.column(at).to_pylist()]) < 0.5))
 
     return docs.mapInArrow(common.tidied(run), docs.schema)
