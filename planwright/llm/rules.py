@@ -1,10 +1,15 @@
 """Quality rules with robust multivariate outliers.
 
 Base rules come first (too few words, too many repeated word windows).  What passes them is judged by
-Mahalanobis distance under minimum-covariance-determinant estimates, one per language and source: from
-medians and median deviations, concentration steps keep the ``SHARE`` of rows nearest to the current
-centre and take centre and covariance from those, over all rows, until ``STEPS`` are done.  A step is one
-aggregation to (group, distance bin), so a group of any size is summed where its rows lie.
+Mahalanobis distance under minimum-covariance-determinant estimates, one per language and source: centre and
+covariance of the ``SHARE`` of rows whose covariance (plus the least one that ``FLOOR`` allows) has the
+smallest determinant.  Three starts from all rows (medians with median deviations alone, with the
+correlations of their squashed values, with those of their directions) take concentration steps: the
+``SHARE`` of rows nearest to the centre give the next one.  After two steps the start of the smallest
+determinant goes on until no group's falls any more.  A step is one aggregation to (group, distance bin), so
+a group of any size is summed where its rows lie; of the bin that the share ends in, a part counts.
+
+A row is an outlier beyond the chi-square distance that a row of a normal sample passes once in 1 / ``FALSE``.
 
 Groups of under ``LEAST`` rows pool by language, those again over everything; a pool still under
 ``LEAST`` rejects nothing.  Nulls: a null text has no words (base_failed); null language and source are
@@ -25,10 +30,10 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-SHARE, STEPS, LEAST = 0.75, 5, 50
-#: Squared distance beyond which a row is an outlier: six times the deviation that
-#: ``FLOOR`` allows at least, in any one direction, and then some.
-CUTOFF = 42.0
+SHARE, LEAST = 0.75, 50
+#: Steps with all starts, steps at most (they end much earlier), and the fall of log determinants that still counts.
+FIRST_STEPS, MOST_STEPS, FALL = 2, 40, 1e-3
+FALSE = 1e-7
 # Statistics: log words, letters a word (64 at most), root of symbols a word, repeated lines a line,
 # repeated words a word, upper-case words a word.  FLOOR: the least standard deviation of each.
 FLOOR = (0.7, 0.5, 0.08, 0.08, 0.07, 0.08)
@@ -36,7 +41,7 @@ P = len(FLOOR)
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
-BINS = 64  # to a doubling of the distance
+BINS = 256  # to a doubling of the distance
 X = [f"x{i}" for i in range(P)]
 
 
@@ -109,26 +114,42 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def _consistency() -> float:
-    """What makes the covariance of the nearest SHARE of a normal sample that of the whole."""
-    below = lambda m, x: 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(m))  # noqa: E731  chi-square, 2m degrees
-    lo, hi = 0.0, 100.0
+def chi_square(x: float, degrees: int) -> float:
+    """The share of a chi-square distribution of even degrees that is below x."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(degrees // 2))
+
+
+def quantile(share: float, degrees: int = P) -> float:
+    lo, hi = 0.0, 1000.0
     for _ in range(80):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if below(P // 2, mid) < SHARE else (lo, mid)
-    return SHARE / below(P // 2 + 1, lo)
+        lo, hi = (mid, hi) if chi_square(mid, degrees) < share else (lo, mid)
+    return lo
+
+
+def consistency() -> float:
+    """What makes the covariance of the nearest SHARE of a normal sample that of the whole."""
+    return SHARE / chi_square(quantile(SHARE), P + 2)
 
 
-def _params(g: str, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
-    inverse = np.linalg.inv(cov + np.diag(np.square(FLOOR)))
-    return pd.DataFrame({"pg": [g], "mean": [mean.tolist()], "inverse": [inverse.ravel().tolist()]})
+def cutoff() -> float:
+    """Squared distance beyond which a row is an outlier."""
+    return quantile(1 - FALSE)
 
 
-PARAMS = "pg string, mean array<double>, inverse array<double>"
+PARAMS = "pg string, start int, mean array<double>, inverse array<double>, log_det double, fall double"
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and median deviations of each statistic, from histograms of its 1/64ths."""
+def _params(g: str, start: int, mean: np.ndarray, cov: np.ndarray, before: float = math.inf) -> pd.DataFrame:
+    """The determinant is of the covariance plus the floor's, the one that concentration steps lower."""
+    cov = cov + np.diag(np.square(FLOOR))
+    log_det = float(np.linalg.slogdet(cov)[1])
+    return pd.DataFrame({"pg": [g], "start": [start], "mean": [mean.tolist()], "inverse": [np.linalg.inv(cov).ravel().tolist()], "log_det": [log_det], "fall": [before - log_det]})
+
+
+def _medians(rows: DataFrame) -> DataFrame:
+    """g, middle and scale of each statistic, from histograms of its 1/64ths."""
     bins = rows.select("g", F.posexplode(F.array(*X)).alias("i", "x")).groupBy("g", "i", F.round(F.col("x") * 64).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -140,44 +161,90 @@ def _start(rows: DataFrame) -> DataFrame:
             off = np.abs(x - middle)
             order = np.argsort(off, kind="stable")
             scale[i] = 1.4826 * off[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)]
-        return _params(f["g"].iloc[0], mean, np.diag(np.square(scale)))
-
-    return bins.groupBy("g").applyInPandas(run, PARAMS)
+        return pd.DataFrame({"pg": [f["g"].iloc[0]], "mean": [mean.tolist()], "scale": [np.maximum(scale, FLOOR).tolist()]})
+
+    return bins.groupBy("g").applyInPandas(run, "pg string, mean array<double>, scale array<double>")
+
+
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
+    """Three starts a group."""
+    z = [(F.col(x) - F.col("mean")[i]) / F.col("scale")[i] for i, x in enumerate(X)]
+    scaled = _joined(rows, common.staged(_medians(rows), "rule-medians"), few).select("g", "mean", "scale", *(c.alias(x) for c, x in zip(z, X, strict=True)))
+    length = F.greatest(F.sqrt(sum((F.col(x) * F.col(x) for x in X), F.lit(0.0))), F.lit(1e-9))
+    sums = []
+    for name, of in (("t", F.tanh), ("u", lambda c: c / length)):
+        sums += [F.sum(of(F.col(X[i])) * of(F.col(X[j]))).alias(f"{name}{i}_{j}") for i, j in PAIRS]
+    found = scaled.groupBy("g").agg(F.first("mean").alias("mean"), F.first("scale").alias("scale"), *sums)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for _, r in f.iterrows():
+                mean, scale = np.array(r["mean"]), np.array(r["scale"])
+                yield _params(r["g"], 0, mean, np.diag(np.square(scale)))
+                for start, name in ((1, "t"), (2, "u")):
+                    cov = np.zeros((P, P))
+                    for i, j in PAIRS:
+                        cov[i, j] = cov[j, i] = r[f"{name}{i}_{j}"]
+                    d = np.sqrt(np.diag(cov)) + 1e-9
+                    cov = cov / np.outer(d, d)
+                    np.fill_diagonal(cov, 1.0)
+                    yield _params(r["g"], start, mean, cov * np.outer(scale, scale))
+
+    return found.mapInPandas(run, PARAMS)
 
 
 def _distance() -> Column:
     d = [F.col(x) - F.col("mean")[i] for i, x in enumerate(X)]
     total = None
-    for i in range(P):
-        for j in range(i, P):
-            term = d[i] * d[j] * F.col("inverse")[i * P + j] * (1 if i == j else 2)
-            total = term if total is None else total + term
+    for i, j in PAIRS:
+        term = d[i] * d[j] * F.col("inverse")[i * P + j] * (1 if i == j else 2)
+        total = term if total is None else total + term
     return F.greatest(total, F.lit(0.0))
 
 
-def _joined(rows: DataFrame, params: DataFrame) -> DataFrame:
-    few = params.limit(20_001).count() <= 20_000  # else a shuffled join, which splits hot groups
+#: Rows of groups or their parameters that may be broadcast; beyond, a shuffled join, which splits hot groups.
+FEW = 20_000
+
+
+def _joined(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
     return rows.join(F.broadcast(params) if few else params, rows["g"] == params["pg"]).drop("pg")
 
 
-def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
-    binned = _joined(rows, params).withColumn("bin", F.floor(F.log2(1 + _distance()) * BINS))
-    pairs = [(i, j) for i in range(P) for j in range(i, P)]
-    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(X)] + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}_{j}") for i, j in pairs]
-    cells = binned.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
-    factor = _consistency()
+def _concentrate(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
+    """One step of every start."""
+    binned = _joined(rows, params.drop("fall"), few).withColumn("bin", F.floor(F.log2(1 + _distance()) * BINS))
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(X)] + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}_{j}") for i, j in PAIRS]
+    cells = binned.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("n"), F.first("log_det").alias("before"), *sums)
+    factor = consistency()
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("bin")
-        n = np.cumsum(f["n"].to_numpy())
-        near = f.iloc[: int(np.searchsorted(n, SHARE * n[-1])) + 1].sum(numeric_only=True)
-        mean = np.array([near[f"s{i}"] for i in range(P)]) / near["n"]
+        n = f["n"].to_numpy(float)
+        below = np.cumsum(n) - n
+        part = np.clip((np.ceil(SHARE * n.sum()) - below) / n, 0, 1)
+        near = lambda c: float(f[c].to_numpy() @ part)
+        total = float(n @ part)
+        mean = np.array([near(f"s{i}") for i in range(P)]) / total
         cov = np.zeros((P, P))
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = near[f"q{i}_{j}"] / near["n"] - mean[i] * mean[j]
-        return _params(f["g"].iloc[0], mean, cov * factor)
+        for i, j in PAIRS:
+            cov[i, j] = cov[j, i] = near(f"q{i}_{j}") / total - mean[i] * mean[j]
+        return _params(f["g"].iloc[0], int(f["start"].iloc[0]), mean, cov * factor, float(f["before"].iloc[0]))
+
+    return cells.groupBy("g", "start").applyInPandas(run, PARAMS)
+
 
-    return cells.groupBy("g").applyInPandas(run, PARAMS)
+def _estimates(rows: DataFrame, few: bool) -> DataFrame:
+    """pg, mean, inverse: the smallest determinant's of each group."""
+    params = common.staged(_starts(rows, few), "rule-start")
+    for _ in range(FIRST_STEPS):
+        params = common.staged(_concentrate(rows, params, few), "rule-step")
+    best = params.groupBy("pg").agg(F.min_by(F.struct(*params.columns), F.struct("log_det", "start")).alias("p")).select("p.*")
+    params = common.staged(best, "rule-best")
+    for _ in range(MOST_STEPS):
+        params = common.staged(_concentrate(rows, params, few), "rule-step")
+        if (params.agg(F.max("fall")).first()[0] or 0.0) < FALL:
+            break
+    return params.select("pg", "mean", "inverse")
 
 
 def judge(stats: DataFrame) -> DataFrame:
@@ -188,19 +255,16 @@ def judge(stats: DataFrame) -> DataFrame:
     by_lang = groups.groupBy(F.col("gl").alias("ll")).agg(F.sum(F.when(F.col("n") < LEAST, F.col("n")).otherwise(0)).alias("pool"))
     level = F.when(F.col("n") >= LEAST, F.concat_ws("\x01", "gl", "gs")).when(F.col("pool") >= LEAST, F.concat_ws("\x01", "gl", F.lit("*"))).otherwise(F.lit("*"))
     keyed = common.staged(groups.join(by_lang, F.col("gl") == F.col("ll")).select("gl", "gs", level.alias("g")), "rule-groups")
-    few = keyed.limit(20_001).count() <= 20_000
+    few = keyed.limit(FEW + 1).count() <= FEW
     rows = stats.withColumns({"_l": key[0], "_s": key[1]}).withColumns(dict(zip(X, _vector(), strict=True)))
     rows = rows.join(F.broadcast(keyed) if few else keyed, (F.col("_l") == F.col("gl")) & (F.col("_s") == F.col("gs")), "left").drop("gl", "gs", "_l", "_s")
     good = rows.filter(~base_failed()).select("g", *X)
-    params = common.staged(_start(good), "rule-start")
-    for _ in range(STEPS):
-        params = common.staged(_concentrate(good, params), "rule-step")
+    params = _estimates(good, few)
     sizes = good.groupBy("g").agg(F.count(F.lit(1)).alias("gn")).withColumnRenamed("g", "pg2")
     params = common.staged(params.join(sizes, params["pg"] == F.col("pg2")).filter(F.col("gn") >= LEAST).drop("pg2", "gn"), "rule-params")
-    few = params.limit(20_001).count() <= 20_000
     judged = rows.join(F.broadcast(params) if few else params, rows["g"] == params["pg"], "left")
     judged = judged.withColumn("base_failed", base_failed()).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
+    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff())
     return judged.withColumn("kept", kept).drop("g", "pg", "mean", "inverse")
 
 
