@@ -116,6 +116,14 @@ def test_chat_round_trip(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_roles_are_read_back(spark):
+    roles = ["a\r\\", "\\n", "\\\\n", "\r\n", "\\", "\\\\", "\\0", "a\\\n", ":", "", "\n", "x\\\\\nn", None]
+    rows = [(i, 0, x, "text") for i, x in enumerate(roles)]
+    got = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for i, x in enumerate(roles):
+        assert got[i]["identical"] and got[i]["parsed"][0]["role"] == x
+
+
 def test_quality_rules(spark, docs, none):
     got = rules.quality_rules(docs)
     rows = {(r["doc_id"], r["n_words"]): r for r in got.collect()}
@@ -137,6 +145,53 @@ def test_quality_rules(spark, docs, none):
     assert rules.quality_rules(none).count() == 0 and rules.filter_documents(none).count() == 0
 
 
+def brute_mcd(x, share):
+    """Centre and covariance (with the floor) of the smallest determinant over many random starts."""
+    r, h, floor = np.random.default_rng(0), math.ceil(share * len(x)), np.diag(np.square(rules.FLOOR))
+    best = (math.inf,)
+    for _ in range(60):
+        near = r.choice(len(x), h, replace=False) if _ % 2 else r.choice(len(x), 12, replace=False)
+        last = math.inf
+        while True:
+            mean, cov = x[near].mean(0), np.cov(x[near].T, bias=True) * rules.consistency() + floor
+            det = np.linalg.slogdet(cov)[1]
+            if len(near) == h and det >= last - 1e-9:
+                break
+            last = det if len(near) == h else math.inf
+            near = np.argsort(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean), kind="stable")[:h]
+        best = min(best, (last, mean.tolist(), cov.tolist()))
+    return best[0], np.array(best[1]), np.array(best[2])
+
+
+def test_minimum_covariance_determinant(spark):
+    """Distances and verdicts of two groups with a fifth of planted outliers, against many starts row by row."""
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    rows = []
+    for i in range(500):
+        odd = i % 5 == 0
+        words = [(word(r.randint(6, 9)).upper() + "#" * r.randint(1, 3)) if odd and r.random() < 0.9 else word(r.randint(2, 9)) for _ in range(r.randint(60, 400))]
+        rows.append((i, " ".join(words), "en", "a" if i < 300 else "b", odd))
+    got = {x["doc_id"]: x for x in rules.judge(rules.statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, odd boolean"))).collect()}
+    for source in "ab":
+        mine = [x for x in rows if x[3] == source]
+        n = np.array([rules.count(x[1]) for x in mine], float)
+        words, chars, symbols, dups, repeats, lines, upper = n.T
+        x = np.stack([np.log(words), np.minimum(chars / words, 64), np.sqrt(symbols / words), dups / lines, repeats / words, upper / words], 1)
+        _, mean, cov = brute_mcd(x, rules.SHARE)
+        want = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        have = np.array([got[d[0]]["distance"] for d in mine])
+        assert np.abs(have / want - 1).max() < 0.05
+        assert [got[d[0]]["kept"] for d in mine] == (want <= rules.cutoff()).tolist() == [not d[4] for d in mine]
+
+
+def test_chi_square():
+    assert rules.quantile(0.975) == pytest.approx(14.449, abs=1e-3) and rules.quantile(0.999) == pytest.approx(22.458, abs=1e-3)
+    x = np.random.default_rng(1).normal(size=(200_000, rules.P))
+    near = x[np.argsort(np.square(x).sum(1))[: int(rules.SHARE * len(x))]]
+    assert rules.consistency() * near.var() == pytest.approx(1, abs=0.01)
+
+
 def test_quality_rules_tell_rows_of_one_id_apart(spark):
     r = random.Random(3)
     clean = [" ".join(f"{a}{b}" for a, b in ((r.choice("abcdefgh") * r.randint(2, 7), r.randint(0, 999)) for _ in range(100))) for _ in range(80)]

@@ -40,7 +40,7 @@ def test_words_encode_as_whole_texts():
     whole.encode_special_tokens = True
     e = encoding.Encoder(encoding.definition(path))
     r = random.Random(1)
-    bits = ["a", "b", "foo", "The", "'s", "'re", "1", "²", "é", "中", "😀", ".", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\u2003", "\x1c", "\x85", ",", "...", "!", "#", "\r\n", "_", "ª", "<|endoftext|>"]
+    bits = ["a", "b", "foo", "The", "'s", "'re", "1", "²", "é", "中", "😀", ".", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\u2003", "\x1c", "\x85", ",", "...", "!", "#", "\r\n", "_", "ª", "<|endoftext|>", "3.14", "x.,", "\x01", "\x01.", "Ω", "ö", "foo.bar", ")."]
     texts = ["", " ", "\n", *("".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(4000))]
     for t, ids in zip(texts, e(pa.array(texts, pa.string())), strict=True):
         assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
@@ -73,17 +73,36 @@ def test_targets():
 
 
 @pytest.mark.parametrize("p", [0.02, 0.39, 0.5, 0.97])
-def test_pivoting_keeps_words_and_odds(p):
+def test_pivoting_keeps_words(p):
     r = random.Random(3)
     sizes = [r.randint(1, 30) for _ in range(300)] + [900]
-    out = mixing.reduce_chunk([(i, s, p) for i, s in enumerate(sizes)], 1, True)
+    rows = [(i, s, p) for i, s in enumerate(sizes)]
+    out = mixing.reduce_chunk(rows, 1, 0.01 * p * sum(sizes))
     assert set(out) <= {0.0, 1.0}
     assert abs(sum(s for s, x in zip(sizes, out) if x) - p * sum(sizes)) < 30
-    half = mixing.reduce_chunk([(i, s, p) for i, s in enumerate(sizes)], 1, False)
+    half = mixing.reduce_chunk(rows, 1, None)
     assert sum(0 < x < 1 for x in half) <= 1 and abs(sum(s * x for s, x in zip(sizes, half)) - p * sum(sizes)) < 1e-6
-    assert half == mixing.reduce_chunk([(i, s, p) for i, s in enumerate(sizes)], 1, False)
-    taken = np.mean([mixing.reduce_chunk([(i, 10, 0.3) for i in range(20)], seed, True) for seed in range(400)], axis=0)
-    assert abs(taken.mean() - 0.3) < 0.02 and taken.std() < 0.08
+    assert half == mixing.reduce_chunk(rows, 1, None)
+
+
+@pytest.mark.parametrize("p", [0.3, 0.75])
+def test_pivoting_keeps_every_documents_odds(p):
+    """Each document of any size is taken as often as its share says: two levels of a tree, 1,500 seeds."""
+    r = random.Random(8)
+    sizes = [r.choice((1, 2, 3, 8, 20, 50, 120, 400)) + r.randint(0, 9) for _ in range(60)]
+    n, words = 1500, []
+    taken = np.zeros(len(sizes))
+    for seed in range(n):
+        out = {}
+        for half in (range(0, 30), range(30, 60)):
+            out |= dict(zip(half, mixing.reduce_chunk([(i, sizes[i], p) for i in half], seed, None), strict=True))
+        left = [i for i, x in out.items() if 0 < x < 1]
+        out |= dict(zip(left, mixing.reduce_chunk([(i, sizes[i], out[i]) for i in left], seed + n, 1e9), strict=True))
+        taken += np.array([out[i] for i in range(60)])
+        words.append(sum(sizes[i] * out[i] for i in range(60)))
+    off = (taken / n - p) / np.sqrt(p * (1 - p) / n)
+    assert np.abs(off).max() < 4 and abs(off.mean()) < 0.5
+    assert np.abs(np.array(words) - p * sum(sizes)).mean() < 0.03 * sum(sizes)
 
 
 def brute_repeats(words):
@@ -140,22 +159,59 @@ def test_discounts():
     assert (lm.discounts([0] * 7) == 1).all()
 
 
-def test_factorization_learns_pairs():
-    """Neither word alone is toxic, both are: weights that add up cannot tell, pairs can."""
+def brute_toxicity(m, text):
+    """The same score, term by term and pair by pair."""
+    at = {int(b): i for i, b in enumerate(m.buckets)}
+    words = {t for w in set(text.lower().split()) if (t := toxicity.terms(w))}
+    columns = [[at[b] for b in t if b in at] for t in words]
+    raw = m.bias + sum(m.w[i] for c in columns for i in c)
+    for x in range(len(columns)):
+        for y in range(x):
+            raw += sum(float(m.v[i] @ m.v[j]) for i in columns[x] for j in columns[y])
+    return 1 / (1 + np.exp(-raw))
+
+
+def paired_texts(n, fillers=30):
+    """Neither word alone is toxic (1), both are, and neither is: weights that add up cannot tell."""
     r = random.Random(6)
-    rows, y = [], []
-    f = toxicity.Featurizer()
-    for _ in range(1500):
+    texts, y = [], []
+    for _ in range(n):
         a, b = r.random() < 0.5, r.random() < 0.5
-        text = " ".join(["w%d" % r.randint(0, 30) for _ in range(5)] + ["insultword"] * a + ["groupname"] * b)
-        rows.append(f(text))
+        texts.append(" ".join(["w%d" % r.randint(0, fillers) for _ in range(5)] + ["insultword"] * a + ["groupname"] * b))
         y.append(float(a == b))
-    m = toxicity.train(rows, np.array(y), np.ones(len(y)))
-    g = toxicity.Featurizer(m.columns())
-    score = lambda t: m.score(g(t))
-    assert score("w1 insultword groupname") > 0.5 > score("w1 insultword") and score("w1 groupname") < 0.5
+    return texts, np.array(y)
+
+
+def test_factorization_learns_pairs():
+    texts, y = paired_texts(1500)
+    f = toxicity.Featurizer()
+    rows = [f(t) for t in texts]
+    m = toxicity.train(rows, y, np.ones(len(y)))
+    probes = ["w1 insultword groupname", "w1 insultword", "w1 groupname", "", "Insultword, insultword! GROUPNAME w7 w8 w9 x"]
+    got = toxicity.Scorer(m)(probes)
+    assert got[0] > 0.5 > got[1] and got[2] < 0.5
+    assert np.allclose(got, [brute_toxicity(m, t) for t in probes])
+    again = toxicity.Scorer(m)
+    assert np.allclose([again([t])[0] for t in probes], got)  # words met one by one
+    flat = toxicity.train(rows, y, np.ones(len(y)), factors=False)
+    right = lambda m: ((toxicity.Scorer(m)(texts) >= 0.5) == (y > 0.5)).mean()
+    assert right(m) > 0.95 and right(flat) < 0.7
     empty = toxicity.train([], np.array([]), np.array([]))
-    assert empty.score(np.empty(0, np.int64)) == 0.5
+    assert toxicity.Scorer(empty)(["", "a b"]).tolist() == [0.5, 0.5]
+
+
+def test_screen_keeps_what_tells_in_pairs(monkeypatch):
+    """'groupname' says nothing by itself; beside 'insultword' it does."""
+    r = random.Random(9)
+    f = toxicity.Featurizer()
+    rows, y = [], []
+    for _ in range(3000):
+        a, b = r.random() < 0.3, r.random() < 0.5
+        rows.append(f(" ".join(["w%d" % r.randint(0, 300) for _ in range(5)] + ["insultword"] * a + ["groupname"] * b)))
+        y.append(float(r.random() < (0.9 if a and b else 0.3 if b else 0.1 if a else 0.6)))
+    y = np.array(y)
+    monkeypatch.setattr(toxicity, "KEEP", 40)
+    assert toxicity.bucket("groupname") in toxicity.train(rows, y, np.ones(len(y))).buckets
 
 
 def test_neighbours():
