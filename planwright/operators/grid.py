@@ -65,7 +65,9 @@ def grid_frame(engine, model: str, pivot: str, rows: list[str], cols: list[str],
     """One row a row coordinate, a struct column per column coordinate, as a DataFrame; sorted and cut if asked."""
     df = grid_cells(engine, model, pivot, pages, filters, rows, cols, measure)
     header = F.concat_ws(" / ", *(F.col(c) for c in cols)) if cols else F.lit("value")
-    known = [r["h"] for r in df.select(header.alias("h"), *(F.col(f"_at_{c}") for c in cols)).distinct().orderBy(*(f"_at_{c}" for c in cols), "h").limit(CELLS).collect()]
+    known = [r["h"] for r in df.select(header.alias("h"), *(F.col(f"_at_{c}") for c in cols)).distinct().orderBy(*(f"_at_{c}" for c in cols), "h").limit(CELLS + 1).collect()]
+    if len(known) > CELLS:
+        raise PlanError("QUERY_TOO_WIDE", f"over {CELLS} column coordinates")
     known = list(dict.fromkeys(known))
     wide = df.groupBy(*rows, *(f"_at_{r}" for r in rows)).agg(*(F.max(F.when(header == h, F.col("value"))).alias(h) for h in known))
     order = [F.col(f"_at_{r}") for r in rows]

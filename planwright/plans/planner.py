@@ -24,6 +24,7 @@ from ..lang.syntax import At, Bound, Call, Lit, Op, Ref, Selector
 
 Node = tuple[str, str, str | None, str]  # model, pivot, line, measure
 MEMBER_LIMIT = 100_000  # line items and pinned members the driver may hold
+PASSES = 4  # along a hierarchy, between writes
 
 
 @dataclass
@@ -100,8 +101,8 @@ class Planner:
             named = F.col("id") == text
             if "name" in df.columns:
                 named = named | (F.col("name") == text)
-            rows = df.filter(named).select("id").limit(50).collect()
-            hit = next((r["id"] for r in rows if r["id"] == text), rows[0]["id"] if rows else None)
+            rows = df.filter(named).orderBy(F.col("id") != text, *([ORD] if ORD in df.columns else ["id"])).select("id").take(1)
+            hit = rows[0]["id"] if rows else None
         if hit is None:
             raise PlanError("NO_MEMBER", f"{text!r} is no member of {table!r}")
         return hit
@@ -427,7 +428,7 @@ class Planner:
         for n, f in frames.items():
             kind = TEXT if next(m for m in f.pivot.measures if m.id == n[3]).type == "text" else NUM
             self._store(f, n, Val(kind, F.lit(None).cast("double" if kind == NUM else "string"), F.lit("CYCLE")), None)
-        for _ in range(passes + 1):
+        for turn in range(passes + 1):
             done = {}
             for n, f in frames.items():
                 self.model = f.model
@@ -435,33 +436,28 @@ class Planner:
             for n, f in frames.items():
                 self._store(f, n, *done[n])
             for f in {id(f): f for f in frames.values()}.values():
-                self._trim(f)
+                self._trim(f, turn % PASSES == PASSES - 1 or turn == passes)
 
-    def _trim(self, frame: Frame) -> None:
-        """Writes a frame's axes and cells and goes on from there; what was added for references goes."""
+    def _trim(self, frame: Frame, write: bool) -> None:
+        """Leaves a frame's axes and cells; what was added for references goes.  They may be written, to go on from there."""
         from .cut import cut
 
         keep = [c for c in frame.df.columns if c[:2] in ("d_", "o_", "r_") or c == "one"]
         keep += [c for k, v in frame.extra.items() if k[0] == "input" for c in v]
         keep += [c for x in frame.cells.values() for c in (x.value, x.error, x.state) if c]
-        frame.df = cut(frame.df.select(*dict.fromkeys(keep)))
+        frame.df = frame.df.select(*dict.fromkeys(keep))
+        if write:
+            frame.df = cut(frame.df)
         frame.extra = {k: v for k, v in frame.extra.items() if k[0] == "input"}
 
     def _depth(self, frame: Frame) -> int:
-        """Levels of the deepest hierarchy among a frame's dimensions, at most 100; of time, its periods."""
+        """Levels of the deepest hierarchy among a frame's dimensions; of time, its periods."""
         deepest = 1
         for d in frame.pivot.axes:
             t = frame.model.table(d.table)
             for f in t.fields.values():
                 if f.ref == t.id:
-                    links = t.df.select("id", F.col(f.id).alias("up"))
-                    level, depth = links.filter(F.col("up").isNull()).select("id"), 1
-                    while depth < 100:
-                        level = links.join(level.select(F.col("id").alias("up")), "up").select("id")
-                        if level.isEmpty():
-                            break
-                        depth += 1
-                    deepest = max(deepest, depth)
+                    deepest = max(deepest, levels(t.df.select("id", F.col(f.id).alias("up"))))
             if d.id == frame.pivot.time_dim and deepest == 1:
                 deepest = t.df.count()
         if deepest > 400:
@@ -970,20 +966,40 @@ class Planner:
         if key not in frame.extra:
             from .tables import period_column
 
-            table = period_table(frame.model, c)
+            table = period_table(frame.model, c, frame.pivot)
             name = self.fresh("p_")
             frame.df = period_column(self, frame.model, frame.df, F.date_from_unix_date(v.col.cast("int")), table, name)
             frame.extra[key] = name
         return Val(TEXT, scope.column(frame.extra[key]), v.err)
 
 
-def period_table(model: Model, c: Call) -> Table:
+def levels(links: DataFrame) -> int:
+    """The longest chain of links (id, up) that ends; each round doubles how far up a member looks."""
+    from .cut import cut
+
+    at = cut(links.select("id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("steps")))
+    reach, members = 1, at.count()
+    while reach <= members and not at.filter(F.col("up").isNotNull()).isEmpty():
+        above = at.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("steps").alias("_steps"))
+        joined = at.join(above, F.col("up") == F.col("_id"), "left")
+        at = cut(joined.select("id", F.col("_up").alias("up"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")))
+        reach *= 2
+    return 1 + (at.filter(F.col("up").isNull()).agg(F.max("steps")).first()[0] or 0)
+
+
+def period_table(model: Model, c: Call, of: Pivot | Table) -> Table:
+    """The table that PERIOD names, or else the pivot's time, or what a field of the table refers to, or a table of periods."""
     if len(c.args) > 1:
         if not isinstance(c.args[1], Ref) or c.args[1].parts[0] not in model.tables:
             raise PlanError("BAD_ARG", "PERIOD(date, periods) names a periods table")
         return model.table(c.args[1].parts[0])
-    found = [t for t in model.tables.values() if "start" in t.fields and "end" in t.fields]
-    if not found:
+    spans = lambda t, *more: {"start", "end", *more} <= set(t.fields)
+    if isinstance(of, Pivot):
+        found = [model.table(d.table) for d in of.axes if d.id == of.time_dim]
+    else:
+        found = [t for f in of.fields.values() if f.ref and spans(t := model.table(f.ref))]
+        found += [t for t in model.tables.values() if spans(t, "frame")]
+    if not found or not spans(found[0]):
         raise PlanError("NO_PERIODS", "no table with start and end", "PERIOD(date, periods)")
     return found[0]
 

@@ -17,6 +17,8 @@ from ..functions.values import TEXT, Val, as_text, blank, errors, from_field, li
 from ..lang.syntax import At, Call, Lit, Op, Ref
 
 PART = F.shiftright(F.col(ORD), 33)
+#: Rows of a stretch that one task aggregates neighbours in.
+STRETCH = 8_192
 
 
 def running(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -37,10 +39,16 @@ def row_index(df: DataFrame, name: str) -> DataFrame:
 
 
 def period_column(planner, model: Model, df: DataFrame, date: Column, table: Table, name: str) -> DataFrame:
-    """The member of a periods table that a date falls in: an equi-join for generated calendars."""
-    periods = planner.table(model, table.id).select(F.col("id").alias(name), F.col("start").alias("_ps"), F.col("end").alias("_pe"))
+    """The member of a periods table that a date falls in: of the periods begun by then, the one that began last, if it has not ended.
+
+    Generated calendars are joined by the first day of a date's period.  Other periods may overlap or leave gaps; of
+    those that begin together the last row counts.  They are cut to the days on which each is the last begun, dealt
+    out by month, and joined by month and day, so no row meets two and no join compares all with all.
+    """
+    periods = planner.table(model, table.id)
     df = df.withColumn("_when", date)
     if table.grain:
+        periods = periods.select(F.col("id").alias(name), F.col("start").alias("_ps"))
         unit = {"month": "MM", "quarter": "quarter", "year": "year"}[table.grain]
         df = df.withColumn("_at", F.trunc("_when", unit))
         # Calendars start on a month; a quarter or a year may start on any.
@@ -49,10 +57,14 @@ def period_column(planner, model: Model, df: DataFrame, date: Column, table: Tab
             months = {"quarter": 3, "year": 12}[table.grain]
             shift = first % months
             df = df.withColumn("_at", F.to_date(F.add_months(F.trunc(F.add_months("_when", -shift), unit), shift)))
-        out = df.join(periods, F.col("_at") == F.col("_ps"), "left").drop("_at")
-    else:
-        out = df.join(periods, (F.col("_ps") <= F.col("_when")) & (F.col("_pe") >= F.col("_when")), "left")
-    return out.drop("_when", "_ps", "_pe")
+        return df.join(periods, F.col("_at") == F.col("_ps"), "left").drop("_at", "_when", "_ps")
+    never = F.lit("9999-12-31").cast("date")
+    begun = periods.filter(F.col("start").isNotNull()).groupBy(F.col("start").alias("_ps")).agg(F.max_by(F.struct(F.col("id").alias("id"), F.coalesce("end", never).alias("end")), ORD).alias("_p"))
+    following = F.coalesce(F.date_sub(F.lead("_ps").over(Window.orderBy("_ps")), 1), never)  # one row a period
+    spans = begun.select(F.col("_p.id").alias(name), "_ps", F.least("_p.end", following).alias("_pe")).filter("_pe >= _ps")
+    spans = spans.withColumn("_month", F.explode(F.sequence(F.trunc("_ps", "MM"), F.trunc("_pe", "MM"), F.expr("interval 1 month"))))
+    out = df.join(spans, (F.trunc("_when", "MM") == F.col("_month")) & (F.col("_ps") <= F.col("_when")) & (F.col("_pe") >= F.col("_when")), "left")
+    return out.drop("_when", "_ps", "_pe", "_month")
 
 
 def needed_fields(table: Table, need: set[str]) -> set[str]:
@@ -251,7 +263,7 @@ class TablePlan:
 
             v = self.emit(c.args[0])
             name = self.planner.fresh("p_")
-            self.df = period_column(self.planner, self.model, self.df, F.date_from_unix_date(v.col.cast("int")), period_table(self.model, c), name)
+            self.df = period_column(self.planner, self.model, self.df, F.date_from_unix_date(v.col.cast("int")), period_table(self.model, c, self.table), name)
             return Val(TEXT, F.col(name), v.err)
         if c.name == "TEXT":
             fmt = c.args[1].value if len(c.args) > 1 and isinstance(c.args[1], Lit) else ""
@@ -280,13 +292,31 @@ class TablePlan:
         v = self.path((*parts, *ref.path))
         if name == "SUM" and s.low.word == "first" and s.high.word == "this" and not s.high.by:
             return self.run(number(v).col)
+        got = self.planner.fresh("n_")
+        if s.low.word == "this" and s.high.word == "this":
+            return self.near_rows(name, v, s.low.by, s.high.by, got)
         low = Window.unboundedPreceding if s.low.word == "first" else s.low.by
         high = Window.unboundedFollowing if s.high.word == "last" else s.high.by
         made = over(name, v, Window.orderBy(ORD).rowsBetween(low, high), F.col(ORD), None)
-        got = self.planner.fresh("n_")
         self.df = self.df.withColumn(got, made.col)
         return Val(made.kind, F.col(got), made.err)
 
+    def near_rows(self, name: str, v: Val, low: int, high: int, got: str) -> Val:
+        """An aggregate of the rows from this+low to this+high: numbered, dealt out by stretches that hold their neighbours' edges too."""
+        from .planner import over
+
+        at, block, err = (self.planner.fresh(x) for x in ("i_", "b_", "e_"))
+        size = max(STRETCH, 4 * (abs(low) + abs(high)))
+        if high < low:
+            low, high = high + 1, high  # no row at all
+        df = row_index(self.df, at)
+        of = lambda shift: F.floor((F.col(at) + shift) / size)
+        df = df.withColumn(block, F.explode(F.array_distinct(F.concat(F.array(of(0)), F.sequence(of(-high), of(-low))))))
+        made = over(name, v, Window.partitionBy(block).orderBy(at).rowsBetween(low, high), F.col(ORD), None)
+        df = df.withColumns({got: made.col} | ({} if made.err is None else {err: made.err}))
+        self.df = df.filter(F.col(block) == of(0)).drop(at, block)
+        return Val(made.kind, F.col(got), None if made.err is None else F.col(err))
+
     def rows(self, name: str, ref: Ref, extra: Val | None) -> Val:
         """An aggregate of a table's rows, whole or matched to fields of this row."""
         from .planner import predicate
