@@ -668,6 +668,107 @@ def q_cohort_retention(spark, d):
     return e.wide("m", "p").filter("active > 0")
 
 
+@query("q_logic", """
+select o_orderkey::varchar as id, (o_totalprice > 100000 and o_orderstatus = 'F') as both, (o_totalprice > 300000 or o_orderstatus = 'P' or not (o_totalprice > 1000)) as any, o_orderstatus = 'P' as empty, true as num, true as txt, true as logical,
+  case when o_orderstatus = 'P' then -1.0 else round(o_totalprice, 2) + 0.0 end as first, (o_orderstatus = 'O' and (o_totalprice < 50000 or o_orderkey % 2 = 1)) as mixed from orders""")
+def q_logic(spark, d):
+    kinds = dict.fromkeys("both any empty num txt logical mixed".split(), "bool") | {"first": "number"}
+    return rounded(table_rules(spark, d, kinds, """
+        both = AND(total > 100000, status = "F")
+        any = OR(total > 300000, status = "P", NOT(total > 1000))
+        empty = ISBLANK(IF(status = "P", BLANK, status))
+        num = ISNUMBER(total)
+        txt = ISTEXT(priority)
+        logical = ISLOGICAL(total > 1)
+        first = COALESCE(IF(status = "P", BLANK, total), -1)
+        mixed = status = "O" and (total < 50000 or not MOD(VALUE(id), 2) = 0)"""), 2)
+
+
+@query("q_more_math", """
+select o_orderkey::varchar as id, round(abs(150000 - o_totalprice), 4) + 0.0 as dist, round(log10(o_totalprice), 6) + 0.0 as digits, round(ln(o_totalprice) / ln(2), 6) + 0.0 as bits, power(o_orderkey % 5, 3) as cube, floor(o_totalprice / 10 + 0.5) * 10 as tens, floor(o_totalprice) as whole,
+  case when o_orderkey % 3 > 0 then round(o_totalprice / (o_orderkey % 3), 4) + 0.0 end as part, true as dice, true as unit, true as today from orders""")
+def q_more_math(spark, d):
+    kinds = dict.fromkeys("dist digits bits cube tens whole part".split(), "number") | dict.fromkeys(("dice", "unit", "today"), "bool")
+    out = table_rules(spark, d, kinds, """
+        dist = ABS(150000 - total)
+        digits = LOG10(total)
+        bits = LOG(total, 2)
+        cube = POWER(MOD(VALUE(id), 5), 3)
+        tens = ROUND(total, -1)
+        whole = TRUNC(total)
+        part = IF(MOD(VALUE(id), 3) = 0, BLANK, DIVIDE(total, MOD(VALUE(id), 3)))
+        dice = AND(RANDBETWEEN(1, 6) >= 1, RANDBETWEEN(1, 6) <= 6)
+        unit = AND(RAND() >= 0, RAND() < 1)
+        today = YEAR(TODAY()) > 2000""")
+    return rounded(out, 6).withColumns({c: F.round(c, 4) + 0.0 for c in ("dist", "part")})
+
+
+@query("q_more_text", """
+select o_orderkey::varchar as id, ends_with(lower(o_orderpriority), 'ent') as ends, o_orderstatus = 'o' as exact, (o_orderkey % 12)::varchar || '!' as shown from orders""")
+def q_more_text(spark, d):
+    return table_rules(spark, d, {"ends": "bool", "exact": "bool", "shown": "text"}, """
+        ends = ENDSWITH(priority, "ENT")
+        exact = EXACT(status, "o")
+        shown = STRING(MOD(VALUE(id), 12)) & "!\"""")
+
+
+@query("q_period_overlap", """
+with sp as (select 'y' || i as span, make_date((1992 + i)::int, 1, 1) as s, make_date((1992 + i)::int, 11, 30) as e from range(8) t(i) union all select 's' || i, make_date((1992 + i)::int, 6, 1), make_date((1992 + i)::int, 6, 20) from range(8) t(i)),
+o as (select o_orderkey::varchar as id, o_orderdate::date as d from orders)
+select id, case when e >= d then span end as span from o asof left join sp on d >= s""")
+def q_period_overlap(spark, d):
+    e = star(spark, d, "region", "nation", "customer", "orders")
+    day = lambda m, n: F.make_date((F.lit(1992) + F.col("id")).cast("int"), F.lit(m), F.lit(n))
+    some = lambda k, a, b, o: spark.range(8).select(F.concat(F.lit(k), "id").alias("id"), day(*a).alias("start"), day(*b).alias("end"), (F.col("id") + o).alias(ORD))
+    e.create_table("m", "spans", {"start": "date", "end": "date"}, df=some("y", (1, 1), (11, 30), 0).union(some("s", (6, 1), (6, 20), 8)))
+    e.add_field("m", "orders", {"id": "span", "ref": "spans", "computed": True})
+    e.set_rules("m", "orders", "span = PERIOD(date, spans)", replace=False)
+    return e.table("m", "orders").select("id", "span")
+
+
+@query("q_row_ranges", """
+select o_orderkey::varchar as id, round(avg(o_totalprice) over (w rows between 3 preceding and 1 following), 4) + 0.0 as mean, max(o_totalprice) over (w rows between current row and 20 following) as top, count(*) over (w rows between 5 preceding and 1 preceding)::double as before,
+  round(coalesce(sum(o_totalprice) over (w rows between 1 following and 3 following), 0), 2) + 0.0 as next3 from orders window w as (order by o_orderkey)""")
+def q_row_ranges(spark, d):
+    out = table_rules(spark, d, dict.fromkeys(("mean", "top", "before", "next3"), "number"), """
+        mean = AVG(total[row = this-3 .. this+1])
+        top = MAX(total[row = this .. this+20])
+        before = COUNT(total[row = this-5 .. this-1])
+        next3 = SUM(total[row = this+1 .. this+3])""")
+    return out.withColumns({"mean": F.round("mean", 4) + 0.0, "before": F.coalesce("before", F.lit(0.0)), "next3": F.round("next3", 2) + 0.0})
+
+
+@query("q_rows_read_pivots", """
+with n as (select c_nationkey, sum(o_totalprice) as t from orders join customer on c_custkey = o_custkey group by 1), a as (select avg(c_acctbal) as m from customer)
+select c_custkey::varchar as id, round(coalesce(t, 0), 2) + 0.0 as around, round(c_acctbal - m, 6) + 0.0 as off from customer c left join n using (c_nationkey) cross join a""")
+def q_rows_read_pivots(spark, d):
+    e = star(spark, d, "region", "nation", "customer", "orders")
+    lines(e, "lines", "bought")
+    e.create_pivot("m", "by_nation", [("nation", "nation"), ("line", "lines")], "line")
+    e.set_rules("m", "by_nation", "bought = SUM(orders.total[customer.nation=@nation])")
+    for f in ("around", "off"):
+        e.add_field("m", "customer", {"id": f, "type": "number", "computed": True})
+    e.set_rules("m", "customer", "around = by_nation.bought[nation=@nation]\noff = balance - AVG(customer.balance)")
+    return e.table("m", "customer").select("id", (F.round("around", 2) + 0.0).alias("around"), (F.round("off", 6) + 0.0).alias("off"))
+
+
+@query("q_load_delimited", """
+select c_custkey::varchar as id, c_name as name, c_acctbal as balance, c_acctbal > 0 as in_credit, date '2020-01-01' + (c_custkey % 900)::int as since from customer""")
+def q_load_delimited(spark, d):
+    """A table from a delimited file: headers slugged, types told from the values, rows checked."""
+    from .plans.cut import shared_path
+    from .sources import delimited
+
+    path = shared_path(spark, "delimited")
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    since = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 900).cast("int"))
+    c.select(F.col("c_custkey").alias("Cust Key"), F.col("c_name").alias(" Name"), F.col("c_acctbal").alias("Balance"), (F.col("c_acctbal") > 0).alias("In Credit"), since.alias("Since")).write.csv(path, header=True, quoteAll=True)
+    e = Engine(spark)
+    e.create_model("m")
+    delimited.load(e, "m", "clients", delimited.read_delimited(spark, path), id="cust_key")
+    return e.table("m", "clients").select("id", "name", "balance", "in_credit", "since")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
