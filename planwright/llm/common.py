@@ -50,22 +50,27 @@ def prepare(spark: SparkSession) -> None:
     sc._planwright_shipped = True
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def tidied(run):
     """A task's generator that gives memory back when it ends: Python workers are kept for other tasks."""
 
     def wrapped(batches):
-        import ctypes
-        import gc
-
-        import pyarrow as pa
-
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # not glibc
-            pass
+        give_back()
 
     return wrapped
 

@@ -158,7 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST) ->
     n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weight = np.array([counts.get(int(k), 0) / n[int(k)] for k in y])
     all_ = sum(counts.get(k, 0) for k in (0, 1))
-    return Voters(list(zip(*lists, strict=True)), y, weight, counts.get(1, 0) / all_ if all_ else 0.5)
+    voters = Voters(list(zip(*lists, strict=True)), y, weight, counts.get(1, 0) / all_ if all_ else 0.5)
+    del lists, found
+    common.give_back()
+    return voters
 
 
 def score(docs: DataFrame, voters: Voters) -> DataFrame:

@@ -139,10 +139,10 @@ def screen(flat: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
 
     n = np.bincount(flat, minlength=SPACE)
     seen = np.flatnonzero(n >= LEAST)
-    column = np.full(SPACE, -1)
-    column[seen] = np.arange(len(seen))
-    keep = column[flat] >= 0
-    x, doc = column[flat[keep]], doc[keep]
+    column = np.full(SPACE, -1, np.int32)
+    column[seen] = np.arange(len(seen), dtype=np.int32)
+    x = column[flat]
+    x, doc = x[x >= 0], doc[x >= 0]
     best = chi(n[seen], np.bincount(x, weights=y[doc], minlength=len(seen)), len(y), y.sum())
     if len(seen) <= KEEP:
         return seen
@@ -164,16 +164,19 @@ def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, factors: bo
     bias = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if len(set(y.tolist())) < 2:
         return Machine(np.empty(0, np.int64), bias)
-    words = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    pairs = np.unique(np.repeat(doc, TERMS)[words.ravel() >= 0] * SPACE + words[words >= 0])
-    m = Machine(screen(pairs % SPACE, pairs // SPACE, y), bias)
+    # A text's distinct buckets, four bytes each: the driver holds MOST rows of each class, whole.
+    distinct = [np.unique(r[r >= 0]) for r in rows]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in distinct])
+    m = Machine(screen(np.concatenate(distinct), owner, y), bias)
+    del distinct, owner
     none = len(m.buckets)
     if not factors:
         m.v[:] = 0
-    words = m.columns()[words]
-    keep = (words < none).any(1)
-    words, doc = words[keep], doc[keep]
+    columns = m.columns()
+    kept = [c[(c < none).any(1)] for c in (columns[r] for r in rows)]
+    words = np.concatenate(kept)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in kept])
+    del kept
     bounds = np.searchsorted(doc, np.arange(len(rows) + 1))
     gw, gv, gb = np.full(none + 1, FIRST), np.full((none + 1, RANK), FIRST), FIRST
     weight = weight / weight.mean()
@@ -223,14 +226,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST) ->
     joined = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["label_id"]).select("doc_id", "h", "text", "toxic")
     terms_of = joined.mapInArrow(common.tidied(run), "doc_id long, h long, toxic int, x array<int>")
     # A row an id and class, however often its document is repeated.
-    found = terms_of.groupBy("doc_id", "toxic").agg(F.min(F.struct("h", "x"))["x"].alias("x")).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    y = found.column("toxic").to_numpy().astype(float)
+    found = terms_of.groupBy("doc_id", "toxic").agg(F.min(F.struct("h", "x"))["x"].alias("x")).toArrow()
+    ids, y = found.column("doc_id").to_numpy(), found.column("toxic").to_numpy().astype(float)
     x = found.column("x").combine_chunks()
+    del found
+    order = np.lexsort((y, ids))
     offsets, flat = x.offsets.to_numpy(), x.values.to_numpy()
-    rows_x = [flat[a:b].reshape(-1, TERMS) for a, b in zip(offsets, offsets[1:], strict=False)]
+    rows_x, y = [flat[offsets[i] : offsets[i + 1]].reshape(-1, TERMS) for i in order], y[order]
     n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weight = np.array([counts.get(int(k), 0) / n[int(k)] for k in y])
-    return train(rows_x, y, weight)
+    del x, offsets, flat
+    model = train(rows_x, y, weight)
+    del rows_x
+    common.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:
