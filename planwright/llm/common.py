@@ -87,11 +87,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Removes a query's shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back, with its path: lineage is cut, any executor may be lost.
+
+    The shuffles of the write are not needed once the table stands, so their files go when it ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/planwright/{name}-{uuid.uuid4().hex[:12]}"
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*(partition_by or [])).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, any executor may be lost."""
-    path = f"{shared_dir(df.sparkSession)}/planwright/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").partitionBy(*(partition_by or [])).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``stage`` for tables that are kept."""
+    return stage(df, name, partition_by)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables (or some of their partitions) once all that is made of them is written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -42,8 +42,13 @@ GROUP_TOKENS = 1_500_000
 LOG10 = np.log(10.0)
 
 
+def _planes(a: np.ndarray, kind: str) -> bytes:
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T
+    return kind.encode().ljust(4) + len(a).to_bytes(8, "little") + planes.tobytes()
+
+
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
-    """Arrays as bytes, byte planes apart; ascending 64-bit keys as differences."""
+    """Arrays as bytes, byte planes apart; ascending 64-bit keys as differences, doubles that recur as numbers of distinct ones."""
     import zstandard
 
     parts = []
@@ -51,22 +56,34 @@ def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
         kind = a.dtype.str[1:]
         if kind == "u8" and len(a):
             a = np.concatenate([a[:1], np.diff(a)])
-        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T
-        parts.append(kind.encode().ljust(4) + len(a).to_bytes(8, "little") + planes.tobytes())
+        if kind == "f8" and len(a):
+            values, of = np.unique(a.view("<u8"), return_inverse=True)
+            if 2 * len(values) <= len(a):
+                parts += [_planes(values, "d8"), _planes(of.astype("<u2" if len(values) <= 1 << 16 else "<u4"), "n")]
+                continue
+        parts.append(_planes(a, kind))
     return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     import zstandard
 
-    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    raw, at, out, values = zstandard.ZstdDecompressor().decompress(data), 0, [], None
     while at < len(raw):
         kind, n = raw[at : at + 4].decode().strip(), int.from_bytes(raw[at + 4 : at + 12], "little")
+        if kind == "n":
+            kind = "u2" if len(values) <= 1 << 16 else "u4"
         width = int(kind[1:])
         planes = np.frombuffer(raw, np.uint8, n * width, at + 12).reshape(width, n)
-        a = np.ascontiguousarray(planes.T).reshape(-1).view("<" + kind)
-        out.append(np.cumsum(a, dtype=U) if kind == "u8" else a)
+        a = np.ascontiguousarray(planes.T).reshape(-1).view("<" + kind.replace("d", "u"))
         at += 12 + n * width
+        if kind == "d8":
+            values = a.view("<f8")
+        elif values is not None:
+            out.append(values[a])
+            values = None
+        else:
+            out.append(np.cumsum(a, dtype=U) if kind == "u8" else a)
     return out
 
 
@@ -90,7 +107,7 @@ CHUNKS = "chunk long, n_tokens long, payload binary"
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Whole documents as word numbers: doc ids, lengths, vocabulary, numbers."""
+    """Whole documents as word numbers: doc ids, lengths, vocabulary, its counts, each token's rank by them."""
     common.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +126,10 @@ def chunks(docs: DataFrame) -> DataFrame:
             word = np.ones(len(all_), bool)
             word[np.cumsum(n) - 1] = False
             all_[word] = words
-            vocabulary, numbers = np.unique(all_, return_inverse=True)
-            payload = pack(np.array([d or 0 for d in ids], "<i8"), np.array([d is None for d in ids], "u1"), n.astype("<u4"), vocabulary, numbers.astype("<u4"), level=3)
+            vocabulary, numbers, counts = np.unique(all_, return_inverse=True, return_counts=True)
+            rank = np.empty(len(counts), "<u4")  # words are numbered by frequency: small numbers compress
+            rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+            payload = pack(np.array([d or 0 for d in ids], "<i8"), np.array([d is None for d in ids], "u1"), n.astype("<u4"), vocabulary, counts.astype("<u4"), rank[numbers], level=3)
             row = pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([len(all_)], pa.int64()), pa.array([payload], pa.binary())], ["chunk", "n_tokens", "payload"])
             ids.clear(), tokens.clear(), lengths.clear()
             seq, size = seq + 1, 0
@@ -145,30 +164,25 @@ class Chunk:
     def __init__(self, payload: bytes, learn, order: int = 2):
         import zlib
 
-        ids, null, self.n, vocabulary, numbers = unpack(payload)
+        ids, null, self.n, vocabulary, counts, ranks = unpack(payload)
         self.doc_ids = [None if x else int(d) for d, x in zip(ids, null, strict=True)]
         self.learn = np.fromiter((learn(zlib.crc32(("null" if d is None else str(d)).encode())) for d in self.doc_ids), bool, len(ids))
-        word = numbers.astype(np.int64)
-        del numbers
+        word = np.argsort(-counts.astype(np.int64), kind="stable")[ranks]
+        del ranks
         self.starts = np.cumsum(self.n, dtype=np.int64) - self.n
         self.taught = np.repeat(self.learn, self.n)
         self.keys, self.of, self.context, self.at, self.hashes = [vocabulary], [word], [None], [None], [None]
-        start = np.array([START])
+        start, words = np.array([START]), mix(vocabulary)
         for level in range(1, order):
             hashes = np.append(self.keys[-1], start)
-            grams, of = np.unique(self.before(self.of[-1], len(self.keys[-1])) * len(vocabulary) + word, return_inverse=True)
-            context, last = np.divmod(grams, len(vocabulary))
-            keys = mix(hashes[context] * U(0x9E3779B97F4A7C15) + mix(vocabulary[last]))
+            context = self.before(self.of[-1], len(self.keys[-1]))
+            keys, of = np.unique(mix((hashes * U(0x9E3779B97F4A7C15))[context] + words[word]), return_inverse=True)
             start = mix(start * U(0x9E3779B97F4A7C15) + mix(np.array([START])))
-            order_ = np.argsort(keys)
-            rank = np.empty(len(order_), np.int64)
-            rank[order_] = np.arange(len(order_))
-            of = rank[of]
             at = np.empty(len(keys), np.int64)
             at[of] = np.arange(len(of))
-            self.keys.append(keys[order_])
+            self.keys.append(keys)
             self.of.append(of)
-            self.context.append(context[order_])
+            self.context.append(context[at])
             self.at.append(at)
             self.hashes.append(hashes)
 
@@ -183,6 +197,15 @@ class Chunk:
         return np.bincount(self.of[level][self.taught], minlength=len(self.keys[level]))
 
 
+#: Stands for the start of a text, which has no place in the tables of grams.
+START_PLACE = (1 << 32) - 1
+
+
+def steps(places: np.ndarray) -> np.ndarray:
+    """Ascending places as differences; ``np.cumsum(..., dtype="u4")`` undoes it."""
+    return np.diff(places.astype("<u4"), prepend=np.uint32(0)).astype("<u4")
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (keys >> U(32)) * U(parts) >> U(32)
 
@@ -207,13 +230,15 @@ def _blobs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "part", "chunk", "payload"])
 
 
-def requests(chunked: DataFrame, parts: int, folds: int, held: int, order: int) -> DataFrame:
+def requests(chunked: DataFrame, parts: int, folds: int, held: int, order: int, level: int) -> DataFrame:
+    """The grams of at most ``order`` words from ``level`` on, with each chunk's counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learn = _learn_rule(folds, held)
         for b in batches:
             for chunk, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 c = Chunk(payload.as_py(), learn, order)
-                for kind, keys in enumerate(c.keys):
+                for kind, keys in list(enumerate(c.keys))[level:]:
                     counts = c.counts(kind)
                     at = cuts(keys, parts)
                     yield _blobs([(kind, p, chunk, pack(keys[i:j], counts[i:j].astype("<u4"))) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i])
@@ -221,27 +246,28 @@ def requests(chunked: DataFrame, parts: int, folds: int, held: int, order: int)
     return chunked.select("chunk", "payload").mapInArrow(common.tidied(run), BLOBS)
 
 
-def tables(asked: DataFrame) -> DataFrame:
+def tables(asked: DataFrame, order: int) -> DataFrame:
     """Totals for every chunk, statistics, and the tables themselves: kind, part, chunk, payload."""
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("chunk").to_numpy(), kind="stable")
+        by = np.argsort(table.column("chunk").to_numpy(), kind="stable")
         kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
-        chunk = table.column("chunk").to_numpy()[order]
+        chunk = table.column("chunk").to_numpy()[by]
         payloads = table.column("payload")
-        got = [unpack(payloads[int(i)].as_py()) for i in order]
+        got = [unpack(payloads[int(i)].as_py()) for i in by]
         keys, counts = np.concatenate([k for k, _ in got]), np.concatenate([n for _, n in got]).astype(np.int64)
         unique, of = np.unique(keys, return_inverse=True)
         total = np.bincount(of, weights=counts, minlength=len(unique)).astype(np.int64)
         taught = np.flatnonzero(counts)
         owner = np.zeros(len(keys), np.uint8)  # one chunk speaks for each distinct gram
         owner[taught[np.unique(of[taught], return_index=True)[1]]] = 1
+        seen = total > 0
+        place = np.maximum(np.cumsum(seen) - 1, 0)  # where the gram stands in this part's table
         rows, at = [], 0
         for c, (k, _) in zip(chunk, got, strict=True):
             here = of[at : at + len(k)]
-            rows.append((kind, part, int(c), pack(total[here].astype("<u4"), owner[at : at + len(k)])))
+            rows.append((kind, part, int(c), pack(total[here].astype("<u4"), owner[at : at + len(k)], *([steps(place[here])] if kind < order - 1 else []))))
             at += len(k)
-        seen = total > 0
         of_counts = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2].tolist()
         stats = {"tokens": int(total.sum()), "types": int(seen.sum()), "of_counts": of_counts}
         rows.append((STATS + kind, part, -1, json.dumps(stats).encode()))
@@ -311,12 +337,13 @@ def evaluate(chunked: DataFrame, answers: DataFrame, e: Estimates, parts: int, f
         kind, part = answer_rows.column("kind").to_numpy(), answer_rows.column("part").to_numpy()
         blobs = answer_rows.column("payload")
 
-        def totals(level: int) -> tuple[np.ndarray, np.ndarray]:
+        def totals(level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             mine = np.flatnonzero(kind == level)
-            total, owner = (np.concatenate(x) for x in zip(*(unpack(blobs[int(i)].as_py()) for i in mine[np.argsort(part[mine])]), strict=True))
-            return total.astype(np.int64), owner.astype(bool)
+            got = [unpack(blobs[int(i)].as_py()) for i in mine[np.argsort(part[mine])]]
+            total, owner = (np.concatenate([g[x] for g in got]) for x in range(2))
+            return total.astype(np.int64), owner.astype(bool), np.concatenate([np.cumsum(x, dtype="u4") for g in got for x in g[2:]] or [np.empty(0, "u4")])
 
-        count, _ = totals(WORDS)
+        count, _, place = totals(WORDS)
         end = count[np.searchsorted(c.keys[WORDS], END)]  # as many starts as ends
         n = now = count[c.of[WORDS]]
         lower = e.word(n)  # each token's probability by the level below, where that has seen it
@@ -324,9 +351,11 @@ def evaluate(chunked: DataFrame, answers: DataFrame, e: Estimates, parts: int, f
         token_doc = np.repeat(np.arange(len(c.doc_ids), dtype="<u4"), c.n)
         give = []
         for level in range(1, order):
-            context_count = np.append(count, end)
+            context_count, places = np.append(count, end), np.append(place, np.uint32(START_PLACE))
+            bounds = cuts(c.keys[level - 1], parts)
+            bounds[-1] = len(places)  # the start goes with the last part
             before = c.before(now, end)
-            count, owner = totals(level)
+            count, owner, place = totals(level)
             now = count[c.of[level]]
             seen = now > 0
             higher = np.zeros(len(now))
@@ -334,20 +363,21 @@ def evaluate(chunked: DataFrame, answers: DataFrame, e: Estimates, parts: int, f
             log[seen] = np.log10(higher[seen])
             # Every distinct gram gives its context the mass it takes below and the count it gives up, once.
             context, r = c.context[level][owner], count[owner]
-            size = len(c.hashes[level])
+            size = len(places)
             took = np.bincount(context, weights=lower[c.at[level][owner]], minlength=size)
             gave = np.bincount(context, weights=r - e.mass(r, level), minlength=size)
-            some = np.unique(context)
-            some = some[np.argsort(c.hashes[level][some])]
-            keys = c.hashes[level][some]
-            at = cuts(keys, parts)
-            give += [(GIVE, p, pack(keys[i:j], took[some[i:j]], gave[some[i:j]], context_count[some[i:j]].astype("<u4"))) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i]
+            some = np.flatnonzero(np.bincount(context, minlength=size))
+            at = np.searchsorted(some, bounds)
+            for p, (i, j) in enumerate(zip(at, at[1:], strict=False)):
+                if j > i:
+                    x = some[i:j]
+                    give.append((GIVE, level, p, pack(steps(places[x]), took[x], gave[x], context_count[x].astype("<u4"))))
             lacking = np.flatnonzero(~seen & (before > 0))
-            keys = c.hashes[level][c.context[level][c.of[level][lacking]]]
-            by = np.argsort(keys, kind="stable")
-            keys, doc = keys[by], token_doc[lacking[by]]
-            at = cuts(keys, parts)
-            give += [(NEED, p, pack(keys[i:j], doc[i:j])) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i]
+            context = c.context[level][c.of[level][lacking]]
+            by = np.argsort(context, kind="stable")
+            context, doc = context[by], token_doc[lacking[by]]
+            at = np.searchsorted(context, bounds)
+            give += [(NEED, level, p, pack(steps(places[context[i:j]]), doc[i:j])) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i]
             lower = higher
         sums = lambda x: np.add.reduceat(x, c.starts)
         docs = len(c.doc_ids)
@@ -357,8 +387,8 @@ def evaluate(chunked: DataFrame, answers: DataFrame, e: Estimates, parts: int, f
             base_score=sums(np.log10((n + 1) / (e.tokens + e.types + 1))), score=sums(log),
         )]
         if give:
-            k, p, payload = zip(*give, strict=True)
-            out.append(_partial(len(k), kind=k, part=p, chunk=[chunk] * len(k), payload=payload))
+            k, at, p, payload = zip(*give, strict=True)
+            out.append(_partial(len(k), kind=k, at=at, part=p, chunk=[chunk] * len(k), payload=payload))
         return pa.Table.from_batches(out)
 
     left = chunked.select("chunk", "payload").groupBy("chunk")
@@ -367,27 +397,39 @@ def evaluate(chunked: DataFrame, answers: DataFrame, e: Estimates, parts: int, f
 
 
 def weigh(partial: DataFrame) -> DataFrame:
-    """Backoff weights by context, added to the documents that need them; documents pass through."""
+    """Backoff weights by context, added to the documents that need them; documents pass through.
+
+    A row of kind CONTEXTS holds one part's weights for grams of level ``at``: where each context stands in
+    the part's table of the level below (START_PLACE: the start of a text), and its weight.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_numpy()
+        kind, level = table.column("kind").to_numpy(), table.column("at").to_numpy()
         part = table.column("part")[0].as_py()
+        chunk, payloads = table.column("chunk").to_numpy(), table.column("payload")
         out = table.filter(pa.array(kind == DOCUMENT)).combine_chunks().to_batches()
-        payloads = table.column("payload")
-        gives = [unpack(payloads[int(i)].as_py()) for i in np.flatnonzero(kind == GIVE)]
-        if gives:
-            keys, took, gave, before = (np.concatenate(x) for x in zip(*gives, strict=True))
-            unique, first, of = np.unique(keys, return_index=True, return_inverse=True)
-            took, gave = np.bincount(of, weights=took), np.bincount(of, weights=gave)
-            weight = gave / before[first] / np.maximum(1 - took, 1e-300)
-            out.append(_partial(1, kind=[CONTEXTS], part=[part], payload=[pack(unique, weight, before[first].astype("<u4"))]))
-            log = np.log10(weight)
-            chunk = table.column("chunk").to_numpy()
-            for i in np.flatnonzero(kind == NEED):
-                keys, doc = unpack(payloads[int(i)].as_py())
+
+        def blobs(kind_: int, level_: int) -> list[tuple[int, list[np.ndarray]]]:
+            found = [(int(chunk[i]), unpack(payloads[int(i)].as_py())) for i in np.flatnonzero((kind == kind_) & (level == level_))]
+            return [(c, [np.cumsum(x[0], dtype="u4").astype(np.int64), *x[1:]]) for c, x in found]
+
+        for of in np.unique(level[kind == GIVE]):
+            gives = [x for _, x in blobs(GIVE, of)]
+            place, took, gave, before = (np.concatenate(x) for x in zip(*gives, strict=True))
+            size = int(place[place < START_PLACE].max(initial=-1)) + 1  # places are dense; the start comes behind them
+            place = np.minimum(place, size)
+            took, gave, count = (np.bincount(place, weights=x, minlength=size + 1) for x in (took, gave, np.ones(len(place))))
+            total = np.zeros(size + 1)
+            total[place] = before
+            some = np.flatnonzero(count)
+            weight = gave[some] / total[some] / np.maximum(1 - took[some], 1e-300)
+            out.append(_partial(1, kind=[CONTEXTS], at=[of], part=[part], payload=[pack(steps(np.where(some == size, START_PLACE, some)), weight)]))
+            log = np.zeros(size + 1)
+            log[some] = np.log10(weight)
+            for c, (place, doc) in blobs(NEED, of):
                 docs, back = np.unique(doc, return_inverse=True)
-                add = np.bincount(back, weights=log[np.searchsorted(unique, keys)])
-                out.append(_partial(1, kind=[ADD], chunk=[chunk[i]], payload=[pack(docs.astype("<u4"), add)]))
+                add = np.bincount(back, weights=log[np.minimum(place, size)])
+                out.append(_partial(1, kind=[ADD], chunk=[c], payload=[pack(docs.astype("<u4"), add)]))
         return pa.Table.from_batches(out or [_partial(0)])
 
     return partial.groupBy("part").applyInArrow(run, PARTIAL)
@@ -416,13 +458,19 @@ def summed(weighed: DataFrame) -> DataFrame:
 def katz_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row a row of ``docs``.
 
-    ``order``: words in the longest gram.
+    ``order``: words in the longest gram.  What stays in the shared folder is the model, in parts by hash: each
+    level's grams and counts (lm-tables, kinds from TABLE on) and the backoff weights (lm-weighed, CONTEXTS).
     """
     spark = docs.sparkSession
-    chunked = common.staged(chunks(docs), "lm-chunks")
+    chunked, chunk_path = common.stage(chunks(docs), "lm-chunks")
     total = chunked.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(common.shuffle_width(spark), total // GROUP_TOKENS)
-    answers = common.staged(tables(requests(chunked, parts, folds, held, order)), "lm-tables", ["kind"])
+    # The longest grams are asked for after the others, so that the shuffles of both never stand together.
+    rounds = [(0, order - 1), (order - 1, order)] if order > 1 else [(0, 1)]
+    found = [common.stage(tables(requests(chunked, parts, folds, held, upto, level), order), "lm-tables", ["kind"]) for level, upto in rounds]
+    answers = found[0][0]
+    for more, _ in found[1:]:
+        answers = answers.unionByName(more)
     stats = {k: {"tokens": 0, "types": 0, "of_counts": [0] * (K + 2)} for k in range(STATS, STATS + order)}
     for r in answers.filter(F.col("kind").isin(*stats)).select("kind", "payload").collect():  # a row a part
         x, s = json.loads(bytes(r["payload"])), stats[r["kind"]]
@@ -430,5 +478,8 @@ def katz_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2)
         s["types"] += x["types"]
         s["of_counts"] = [a + b for a, b in zip(s["of_counts"], x["of_counts"], strict=True)]
     e = Estimates(stats)
-    weighed = common.staged(weigh(evaluate(chunked, answers, e, parts, folds, held, order)), "lm-weighed", ["kind"])
+    partial, partial_path = common.stage(evaluate(chunked, answers, e, parts, folds, held, order), "lm-partial")
+    common.discard(spark, chunk_path, *(f"{path}/kind={level}" for _, path in found for level in range(order)))  # the tables stay
+    weighed = common.staged(weigh(partial), "lm-weighed", ["kind"])
+    common.discard(spark, partial_path)
     return summed(weighed).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(e.tokens).cast("long").alias("train_tokens"), "base_score", "score")
