@@ -39,6 +39,8 @@ START, END = U(0x51A27), U(0xE2D)  # hashes that stand for no word (a word's are
 K, KEEP_BACK = 5, 0.01
 CHUNK_TOKENS = 1_500_000
 GROUP_TOKENS = 1_500_000
+#: Chunks are evaluated in so many rounds, for the shuffles of one at a time to stand.
+ROUNDS = 4
 LOG10 = np.log(10.0)
 
 
@@ -167,7 +169,7 @@ class Chunk:
         ids, null, self.n, vocabulary, counts, ranks = unpack(payload)
         self.doc_ids = [None if x else int(d) for d, x in zip(ids, null, strict=True)]
         self.learn = np.fromiter((learn(zlib.crc32(("null" if d is None else str(d)).encode())) for d in self.doc_ids), bool, len(ids))
-        word = np.argsort(-counts.astype(np.int64), kind="stable")[ranks]
+        word = np.argsort(-counts.astype(np.int64), kind="stable").astype(np.int32)[ranks]
         del ranks
         self.starts = np.cumsum(self.n, dtype=np.int64) - self.n
         self.taught = np.repeat(self.learn, self.n)
@@ -178,8 +180,9 @@ class Chunk:
             context = self.before(self.of[-1], len(self.keys[-1]))
             keys, of = np.unique(mix((hashes * U(0x9E3779B97F4A7C15))[context] + words[word]), return_inverse=True)
             start = mix(start * U(0x9E3779B97F4A7C15) + mix(np.array([START])))
-            at = np.empty(len(keys), np.int64)
-            at[of] = np.arange(len(of))
+            of = of.astype(np.int32)
+            at = np.empty(len(keys), np.int32)
+            at[of] = np.arange(len(of), dtype=np.int32)
             self.keys.append(keys)
             self.of.append(of)
             self.context.append(context[at])
@@ -478,8 +481,14 @@ def katz_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2)
         s["types"] += x["types"]
         s["of_counts"] = [a + b for a, b in zip(s["of_counts"], x["of_counts"], strict=True)]
     e = Estimates(stats)
-    partial, partial_path = common.stage(evaluate(chunked, answers, e, parts, folds, held, order), "lm-partial")
+    partial, partial_paths = None, []
+    for i in range(ROUNDS):
+        mine = (F.shiftright("chunk", 32) + F.col("chunk")) % ROUNDS == i  # neighbours go to different rounds
+        asked = answers.filter(F.col("kind") < order).filter(mine)
+        more, path = common.stage(evaluate(chunked.filter(mine), asked, e, parts, folds, held, order), "lm-partial")
+        partial = more if partial is None else partial.unionByName(more)
+        partial_paths.append(path)
     common.discard(spark, chunk_path, *(f"{path}/kind={level}" for _, path in found for level in range(order)))  # the tables stay
     weighed = common.staged(weigh(partial), "lm-weighed", ["kind"])
-    common.discard(spark, partial_path)
+    common.discard(spark, *partial_paths)
     return summed(weighed).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(e.tokens).cast("long").alias("train_tokens"), "base_score", "score")
