@@ -39,7 +39,7 @@ START, END = U(0x51A27), U(0xE2D)  # hashes that stand for no word (a word's are
 K, KEEP_BACK = 5, 0.01
 CHUNK_TOKENS = 1_500_000
 GROUP_TOKENS = 1_500_000
-#: Chunks are evaluated in so many rounds, for the shuffles of one at a time to stand.
+#: Chunks are evaluated, and contexts weighed, in so many rounds, for the shuffles of one at a time to stand.
 ROUNDS = 4
 LOG10 = np.log(10.0)
 
@@ -60,8 +60,8 @@ def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
             a = np.concatenate([a[:1], np.diff(a)])
         if kind == "f8" and len(a):
             values, of = np.unique(a.view("<u8"), return_inverse=True)
-            if 2 * len(values) <= len(a):
-                parts += [_planes(values, "d8"), _planes(of.astype("<u2" if len(values) <= 1 << 16 else "<u4"), "n")]
+            if 5 * len(values) <= 4 * len(a):
+                parts += [_planes(np.diff(values, prepend=U(0)), "d8"), _planes(of.astype("<u2" if len(values) <= 1 << 16 else "<u4"), "n")]
                 continue
         parts.append(_planes(a, kind))
     return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
@@ -80,8 +80,8 @@ def unpack(data: bytes) -> list[np.ndarray]:
         a = np.ascontiguousarray(planes.T).reshape(-1).view("<" + kind.replace("d", "u"))
         at += 12 + n * width
         if kind == "d8":
-            values = a.view("<f8")
-        elif values is not None:
+            values = np.cumsum(a, dtype=U).view("<f8")
+        elif values is not None:  # the numbers behind their doubles
             out.append(values[a])
             values = None
         else:
@@ -489,6 +489,9 @@ def katz_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2)
         partial = more if partial is None else partial.unionByName(more)
         partial_paths.append(path)
     common.discard(spark, chunk_path, *(f"{path}/kind={level}" for _, path in found for level in range(order)))  # the tables stay
-    weighed = common.staged(weigh(partial), "lm-weighed", ["kind"])
+    weighed = None
+    for i in range(ROUNDS):
+        more = common.staged(weigh(partial.filter(F.col("part") % ROUNDS == i)), "lm-weighed", ["kind"])
+        weighed = more if weighed is None else weighed.unionByName(more)
     common.discard(spark, *partial_paths)
     return summed(weighed).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(e.tokens).cast("long").alias("train_tokens"), "base_score", "score")

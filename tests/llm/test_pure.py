@@ -148,9 +148,13 @@ def test_shingles():
 
 def test_packed_arrays():
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64))
-    arrays = [keys, np.arange(10, dtype="<u4"), np.empty(0, "<u8"), np.array([1.5, -2.0])]
+    some = np.random.default_rng(2).random(70_000)
+    again = [np.tile([0.1, -3.0, 1e300], 50), np.concatenate([some, some]), np.concatenate([some, -some, some])]  # by number, and above 2 ** 16
+    arrays = [keys, np.arange(10, dtype="<u4"), np.empty(0, "<u8"), np.array([1.5, -2.0]), np.empty(0), *again, keys]
     for a, b in zip(arrays, lm.unpack(lm.pack(*arrays)), strict=True):
-        assert (a == b).all() and len(a) == len(b)
+        assert len(a) == len(b) and (a == b).all() and a.dtype == b.dtype
+    places = np.array([0, 0, 3, 9, lm.START_PLACE])
+    assert (np.cumsum(lm.steps(places), dtype="u4") == places).all()
 
 
 def test_discounts():
