@@ -65,10 +65,32 @@ def give_back() -> None:
         pass
 
 
-def tidied(run):
-    """A task's generator that gives memory back when it ends: Python workers are kept for other tasks."""
+#: What a worker process keeps from task to task, by name.
+KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """A worker's store of this name; tasks that are not said to use it empty it."""
+    return KEPT.setdefault(name, {})
+
+
+def forget(uses: str = "") -> None:
+    """Empty every store but this one."""
+    left = [store for name, store in KEPT.items() if store and name != uses]
+    for store in left:
+        store.clear()
+    if left:
+        give_back()
+
+
+def tidied(run, uses: str = ""):
+    """A task's generator that gives memory back when it ends: Python workers are kept for other tasks.
+
+    ``uses``: the store that its tasks fill for each other; what other operators left in a worker goes.
+    """
 
     def wrapped(batches):
+        forget(uses)
         yield from run(batches)
         give_back()
 

@@ -83,7 +83,7 @@ def cut(docs: DataFrame, tokenizer_path: str, max_length: int, end_id: int = 0)
         encode = encoding.encoder(shared.value)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in encoding.slices(texts):
+            for a, b in encoding.slices(texts, 2_000_000):
                 rows = []
                 for d, ids in zip(doc_ids[a:b], encode(texts.slice(a, b - a)), strict=True):
                     ids = np.append(ids, end)
@@ -94,7 +94,7 @@ def cut(docs: DataFrame, tokenizer_path: str, max_length: int, end_id: int = 0)
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text")).mapInArrow(common.tidied(pieces), PIECES)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text")).mapInArrow(common.tidied(pieces, encoding.STORE), PIECES)
 
 
 def rank_by_length(pieces: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def sequence_ids(pieces: DataFrame, docs: DataFrame, tokenizer_path: str, end_id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     whole = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text")).distinct()
-    whole = whole.mapInArrow(common.tidied(encode), "doc_id long, ids array<int>")
+    whole = whole.mapInArrow(common.tidied(encode, encoding.STORE), "doc_id long, ids array<int>")
     parts = pieces.join(whole, "doc_id").select(
         "sequence_id", F.struct("offset", F.slice("ids", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("ids")).alias("piece")
     )

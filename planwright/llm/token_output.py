@@ -102,7 +102,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     ordered = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     # Simple-8b words leave a compressor little to do.
-    ordered.mapInArrow(common.tidied(write), SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(common.tidied(write, encoding.STORE), SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:

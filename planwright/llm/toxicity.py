@@ -39,6 +39,8 @@ RANK, EPOCHS, BATCH, RATE = 8, 10, 128, 0.05
 DECAY_W, DECAY_V, FIRST, SPREAD, V_RATE = 1.0, 1.0, 1e-3, 0.003, 0.5
 MARKS = ".,;:!?|#*$%&\"'()[]{}<>-_/\\"
 REMEMBER = 50_000
+#: Words that a scorer remembers, and characters scored at a time (one text at least), whose words are held meanwhile.
+KNOWN, AT_ONCE = 100_000, 1_000_000
 
 
 def bucket(term: str) -> int:
@@ -112,7 +114,16 @@ class Scorer:
         self.rows = np.zeros((1, RANK + 2))  # row 0: words without a term
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        if len(self.known) > REMEMBER:
+        before = np.cumsum([0, *map(len, texts)])
+        start, out = 0, [np.empty(0)]
+        while start < len(texts):
+            end = max(start + 1, int(np.searchsorted(before, before[start] + AT_ONCE, side="right")) - 1)
+            out.append(self._scores(texts[start:end]))
+            start = end
+        return np.concatenate(out)
+
+    def _scores(self, texts: list[str]) -> np.ndarray:
+        if len(self.known) > KNOWN:
             self.forget()
         split = [set(common.words(t.lower())) for t in texts]
         new = {w: terms(w) for w in set().union(*split) if w not in self.known}

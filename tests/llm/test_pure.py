@@ -1,13 +1,14 @@
 """What needs no Spark: codes, packing, rounding, hashing, learning."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from planwright.llm import encoding, lm, mixing, neardup, packing, quality_knn, rules, simple8b, token_output, toxicity
+from planwright.llm import common, encoding, lm, mixing, neardup, packing, quality_knn, rules, simple8b, token_output, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -204,6 +205,29 @@ def test_factorization_learns_pairs():
     assert toxicity.Scorer(empty)(["", "a b"]).tolist() == [0.5, 0.5]
 
 
+def test_scorer_holds_the_words_of_few_texts(monkeypatch):
+    monkeypatch.setattr(toxicity, "KNOWN", 10_000, raising=False)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 50_000, raising=False)
+    m = toxicity.Machine(np.unique([toxicity.bucket(f"w{i}x7") for i in range(300)]), -1.0)
+    m.w[:-1], texts = 0.5, [" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(300)] + ["", "w0x7", "w1x7 " * 20_000]
+    want = [toxicity.Scorer(m)([t])[0] for t in texts]
+    scorer = toxicity.Scorer(m)
+    tracemalloc.start()
+    got = scorer(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, want) and got[0] > got[300] and len(scorer([])) == 0
+    assert peak < 20_000_000
+
+
+def test_tasks_empty_the_stores_of_others():
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    run = lambda batches: (len(encoding._ENCODERS) for _ in batches)
+    encoding.encoder(encoding.definition(path))
+    assert list(common.tidied(run, encoding.STORE)([0])) == [1]
+    assert list(common.tidied(run)([0])) == [0]
+
+
 def test_screen_keeps_what_tells_in_pairs(monkeypatch):
     """'groupname' says nothing by itself; beside 'insultword' it does."""
     r = random.Random(9)
