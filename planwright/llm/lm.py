@@ -39,8 +39,9 @@ START, END = U(0x51A27), U(0xE2D)  # hashes that stand for no word (a word's are
 K, KEEP_BACK = 5, 0.01
 CHUNK_TOKENS = 1_500_000
 GROUP_TOKENS = 1_500_000
-#: Chunks are evaluated, and contexts weighed, in so many rounds, for the shuffles of one at a time to stand.
-ROUNDS = 4
+#: Chunks are evaluated, and contexts weighed, in so many rounds, for the shuffles of one at a time to stand; what
+#: a round has used goes when it ends.  The longest grams are asked for in so many turns, some parts in each.
+ROUNDS, TURNS = 4, 2
 LOG10 = np.log(10.0)
 
 
@@ -233,8 +234,8 @@ def _blobs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "part", "chunk", "payload"])
 
 
-def requests(chunked: DataFrame, parts: int, folds: int, held: int, order: int, level: int) -> DataFrame:
-    """The grams of at most ``order`` words from ``level`` on, with each chunk's counts."""
+def requests(chunked: DataFrame, parts: int, folds: int, held: int, order: int, level: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """The grams of at most ``order`` words from ``level`` on, with each chunk's counts; of every ``turns``-th part from ``turn`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learn = _learn_rule(folds, held)
@@ -244,7 +245,7 @@ def requests(chunked: DataFrame, parts: int, folds: int, held: int, order: int,
                 for kind, keys in list(enumerate(c.keys))[level:]:
                     counts = c.counts(kind)
                     at = cuts(keys, parts)
-                    yield _blobs([(kind, p, chunk, pack(keys[i:j], counts[i:j].astype("<u4"))) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i])
+                    yield _blobs([(kind, p, chunk, pack(keys[i:j], counts[i:j].astype("<u4"))) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i and p % turns == turn])
 
     return chunked.select("chunk", "payload").mapInArrow(common.tidied(run), BLOBS)
 
@@ -253,6 +254,7 @@ def tables(asked: DataFrame, order: int) -> DataFrame:
     """Totals for every chunk, statistics, and the tables themselves: kind, part, chunk, payload."""
 
     def run(table: pa.Table) -> pa.Table:
+        common.give_back()  # what the group before has left
         by = np.argsort(table.column("chunk").to_numpy(), kind="stable")
         kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
         chunk = table.column("chunk").to_numpy()[by]
@@ -335,6 +337,7 @@ def evaluate(chunked: DataFrame, answers: DataFrame, e: Estimates, parts: int, f
     """Document sums but for backoff weights; what grams give to contexts; what documents need of them."""
 
     def run(chunk_rows: pa.Table, answer_rows: pa.Table) -> pa.Table:
+        common.give_back()
         chunk = chunk_rows.column("chunk")[0].as_py()
         c = Chunk(chunk_rows.column("payload")[0].as_py(), _learn_rule(folds, held), order)
         kind, part = answer_rows.column("kind").to_numpy(), answer_rows.column("part").to_numpy()
@@ -407,6 +410,7 @@ def weigh(partial: DataFrame) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
+        common.give_back()
         kind, level = table.column("kind").to_numpy(), table.column("at").to_numpy()
         part = table.column("part")[0].as_py()
         chunk, payloads = table.column("chunk").to_numpy(), table.column("payload")
@@ -465,12 +469,16 @@ def katz_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2)
     level's grams and counts (lm-tables, kinds from TABLE on) and the backoff weights (lm-weighed, CONTEXTS).
     """
     spark = docs.sparkSession
-    chunked, chunk_path = common.stage(chunks(docs), "lm-chunks")
+    neighbours = F.pmod(F.shiftright("chunk", 32) + F.col("chunk"), F.lit(ROUNDS)).cast("int")  # go to different rounds
+    chunked, chunk_path = common.stage(chunks(docs).withColumn("round", neighbours), "lm-chunks", ["round"])
     total = chunked.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(common.shuffle_width(spark), total // GROUP_TOKENS)
-    # The longest grams are asked for after the others, so that the shuffles of both never stand together.
-    rounds = [(0, order - 1), (order - 1, order)] if order > 1 else [(0, 1)]
-    found = [common.stage(tables(requests(chunked, parts, folds, held, upto, level), order), "lm-tables", ["kind"]) for level, upto in rounds]
+    # The longest grams are asked for after the others, and in turns, so that their shuffles never stand together.
+    asking = [(0, order - 1, 0, 1), *((order - 1, order, i, TURNS) for i in range(TURNS))] if order > 1 else [(0, 1, 0, 1)]
+    found = []
+    for level, upto, turn, turns in asking:
+        told = tables(requests(chunked, parts, folds, held, upto, level, turn, turns), order)
+        found.append(common.stage(told.withColumn("round", neighbours), "lm-tables", ["kind", "round"]))
     answers = found[0][0]
     for more, _ in found[1:]:
         answers = answers.unionByName(more)
@@ -483,15 +491,17 @@ def katz_scores(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2)
     e = Estimates(stats)
     partial, partial_paths = None, []
     for i in range(ROUNDS):
-        mine = (F.shiftright("chunk", 32) + F.col("chunk")) % ROUNDS == i  # neighbours go to different rounds
+        mine = F.col("round") == i
         asked = answers.filter(F.col("kind") < order).filter(mine)
-        more, path = common.stage(evaluate(chunked.filter(mine), asked, e, parts, folds, held, order), "lm-partial")
+        told = evaluate(chunked.filter(mine), asked, e, parts, folds, held, order).withColumn("turn", F.col("part") % ROUNDS)
+        more, path = common.stage(told, "lm-partial", ["turn"])
         partial = more if partial is None else partial.unionByName(more)
         partial_paths.append(path)
-    common.discard(spark, chunk_path, *(f"{path}/kind={level}" for _, path in found for level in range(order)))  # the tables stay
+        common.discard(spark, f"{chunk_path}/round={i}", *(f"{path}/kind={level}/round={i}" for _, path in found for level in range(order)))  # the tables stay
     weighed = None
     for i in range(ROUNDS):
-        more = common.staged(weigh(partial.filter(F.col("part") % ROUNDS == i)), "lm-weighed", ["kind"])
+        more = common.staged(weigh(partial.filter(F.col("turn") == i).select(*FIELDS)), "lm-weighed", ["kind"])
         weighed = more if weighed is None else weighed.unionByName(more)
-    common.discard(spark, *partial_paths)
+        common.discard(spark, *(f"{path}/turn={i}" for path in partial_paths))
+    common.discard(spark, chunk_path, *partial_paths)
     return summed(weighed).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(e.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -463,6 +463,27 @@ def test_katz_recurses(docs, none, order):
     assert lm.katz_scores(none, order=order).count() == 0
 
 
+def test_katz_lets_go_of_what_each_round_has_used(spark, monkeypatch, tmp_path):
+    docs = spark.range(0, 40, 1, 4).selectExpr("id as doc_id", "concat('a b c a b d', id % 3, ' e f', id) as text")  # four chunks
+    want = sorted(map(tuple, lm.katz_scores(docs, order=3).collect()))
+    stage, held = lm.common.stage, []
+    parts = lambda folder: len(list(tmp_path.glob(f"planwright/{folder}")))
+
+    def watched(df, name, *by):
+        held.append((name, parts("lm-chunks-*/*=*"), parts("lm-tables-*/kind=[012]/*=*"), parts("lm-partial-*/*=*")))
+        return stage(df, name, *by)
+
+    monkeypatch.setattr(lm.common, "stage", watched)
+    monkeypatch.setattr(lm.common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    got = sorted(map(tuple, lm.katz_scores(docs, order=3).collect()))
+    assert got == want and len(got) == 40
+    assert sum(name == "lm-tables" for name, *_ in held) == 3  # the longest grams in two turns
+    at = [(chunks, answers, partial) for name, chunks, answers, partial in held if name in ("lm-partial", "lm-weighed")]
+    assert [x[0] for x in at] == [4, 3, 2, 1, 0, 0, 0, 0]
+    assert [x[1] for x in at] == [16, 12, 8, 4, 0, 0, 0, 0]  # three levels, the longest twice
+    assert [x[2] for x in at] == [0, 4, 8, 12, 16, 12, 8, 4]
+
+
 def test_katz_query_counts_three_words(spark, monkeypatch):
     asked = {}
     monkeypatch.setattr(queries.common, "read", lambda *_: None)
